@@ -126,7 +126,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
 
 
 def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    grid = np.exp(np.linspace(np.log(0.05), np.log(5), 60))
+    grid = np.exp(np.linspace(np.log(0.2), np.log(5), 60))
     loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     return float(grid[int(np.argmin(loss))])
 
