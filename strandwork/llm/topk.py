@@ -11,7 +11,7 @@ group-wise best are merged.
 A vector that is null or holds null or non-finite components takes no part; only
 vectors of one length meet.  A null id is no query, and as a candidate ranks after
 all ids of the same score.  Repeated rows are rows: only a query's own row is left
-out.  Fewer candidates than k give fewer results; empty tables give none.  Extra
+out.  Fewer candidates than k give fewer results; empty tables give none.  Scores beyond a long are its least or greatest value.  Extra
 columns are ignored.
 """
 
@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                     cols[0] += [int(uid[i])] * len(found)
                     cols[1] += [int(ids[i])] * len(found)
                     cols[2] += [None if x == _NO_ID else int(x) for x in found]
-                    cols[3] += [int(s) for s in scores]
+                    cols[3] += [min(max(int(s), -(2**63)), 2**63 - 1) for s in scores]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["uid", "query_id", "vec_id", "score"])
 
     both = blocks.unionByName(sent).repartition(last + 1, "grp").sortWithinPartitions("grp", "kind")
