@@ -53,8 +53,8 @@ def compare_runs(a: DataFrame, b: DataFrame, query: str, ref: str) -> DataFrame:
 
 def majority(votes: DataFrame, keys: list[str], name: Column) -> DataFrame:
     """(keys, winner, strength): the most frequent name; AMBIG where two are equally frequent."""
-    counts = votes.select(*keys, name.alias("name")).where("name is not null and name <> ''").groupBy(*keys, "name").agg(F.count("*").alias("n"))
+    counts = votes.select(*keys, name.alias("__name")).where("__name is not null and __name <> ''").groupBy(*keys, "__name").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*keys)
-    c = counts.withColumn("top", F.max("n").over(w)).withColumn("total", F.sum("n").over(w)).where("n = top")
-    out = c.groupBy(*keys).agg(F.min("name").alias("first_name"), F.count("*").alias("k"), F.max("top").alias("top"), F.max("total").alias("total"))
-    return out.select(*keys, F.when(F.col("k") > 1, "AMBIG").otherwise(F.col("first_name")).alias("winner"), (F.col("top").cast("double") / F.col("total")).alias("strength"))
+    c = counts.withColumn("__top", F.max("__n").over(w)).withColumn("__total", F.sum("__n").over(w)).where("__n = __top")
+    out = c.groupBy(*keys).agg(F.min("__name").alias("__first"), F.count("*").alias("__k"), F.max("__top").alias("__top"), F.max("__total").alias("__total"))
+    return out.select(*keys, F.when(F.col("__k") > 1, "AMBIG").otherwise(F.col("__first")).alias("winner"), (F.col("__top").cast("double") / F.col("__total")).alias("strength"))

@@ -41,7 +41,7 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
 
 def read_taxdump(spark: SparkSession, nodes: str, names: str) -> DataFrame:
     """(tax_id, parent, rank, name) of the scientific names."""
-    part = lambda path, cols: spark.read.option("sep", "|").csv(path).select(*[F.trim(F.col(f"_c{i}")).alias(c) for i, c in enumerate(cols)])
+    part = lambda path, cols: spark.read.option("sep", "|").csv(path).select(*[text.strip(F.col(f"_c{i}")).alias(c) for i, c in enumerate(cols)])
     n = part(nodes, ["tax_id", "parent", "rank"]).withColumns({"tax_id": F.col("tax_id").cast("long"), "parent": F.col("parent").cast("long")})
     m = part(names, ["tax_id", "name", "unique_name", "class"]).where(F.col("class") == "scientific name").select(F.col("tax_id").cast("long"), "name")
     return n.join(m, "tax_id", "left")
