@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import fold
+from .common import fold, small_batches
 
 BITS = 16
 COLUMNS = 1 << BITS
@@ -133,7 +133,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from text and lang of rows outside fold 1 of 3."""
-    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold("doc_id", 3) != 1).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    train = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold("doc_id", 3) != 1).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs_n = np.zeros(COLUMNS, np.int64), 0
@@ -189,4 +189,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 score.append(got[1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")

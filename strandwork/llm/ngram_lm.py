@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import stored
+from .common import small_batches, stored
 
 #: Bytes of text in a chunk, and bytes of text for each bucket of counts.
 CHUNK_BYTES = 12_000_000
@@ -266,7 +266,7 @@ def score(docs: DataFrame, train: Column, held: Column, id_col: str = "doc_id",
 
     train: which rows to learn from; held: of these, which serve to learn the weights.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("train"), (train & held).alias("em"))
+    src = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("train"), (train & held).alias("em"))
     chunks = stored(_chunks(src, chunk_bytes), "lm-chunks")
     size = chunks.agg(F.sum("bytes")).first()[0] or 0
     bits = min(40, max(0, ceil(log2(max(1, size / bucket_bytes)))))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import prefix_sums, stored
+from .common import prefix_sums, small_batches, stored
 
 #: The runs of a plan that may be sent to executors with the task; beyond it they are a table that is joined.
 RUNS_IN_TASK = 200_000
@@ -51,7 +51,7 @@ class FastIds:
     open-addressing table of numpy arrays, which starts anew beyond `limit` runs.
     """
 
-    def __init__(self, path: str, limit: int = 1_300_000) -> None:
+    def __init__(self, path: str, limit: int = 699_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -182,7 +182,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer_path(tokenizer))
         for b in batches:
-            for part in tv.slices(b.column(1), 1_000_000):
+            for part in tv.slices(b.column(1)):
                 ids, n = encoder.encode(part)
                 border = np.concatenate([[0], np.cumsum(n)])
                 raw = memoryview(ids.astype("<u4").tobytes())
@@ -199,7 +199,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 ids_of = b.column(0).take(pa.array(cols[0] + part.first))
                 yield pa.RecordBatch.from_arrays([ids_of, pa.array(cols[1].astype(np.int32)), *(pa.array(c) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

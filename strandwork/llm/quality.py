@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import gbt
 from . import textvec as tv
-from .common import fold, stored
+from .common import fold, small_batches, stored
 
 SAMPLE = 16_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> gbt.Trees:
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    texts = docs.select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"))
     rows = stored(texts.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("__id", "text", "y"), "quality-sample")  # about `sample` rows of two numbers are broadcast
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,4 +130,4 @@ def judge(docs: DataFrame, trees: gbt.Trees, threshold: float = 0.5) -> DataFram
             failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))], names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean")

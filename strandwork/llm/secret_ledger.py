@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, small, stored
+from .common import new_path, small, small_batches, stored
 
 #: Changes whenever a pattern does, so ledgers keep findings of different rules apart.
 RULE_VERSION = "2"
@@ -93,7 +93,7 @@ class Ledger:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None) -> DataFrame:
     """(doc_id, blob, spans, n_assign, n_access, n_hex, base_sha256) for every row of docs; the ledger gets what was new."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     ledger = ledger or Ledger(new_path(spark, "ledger"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     paths = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("blob")), "paths")

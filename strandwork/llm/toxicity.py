@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import gbt
 from . import textvec as tv
-from .common import fold, stored
+from .common import fold, small_batches, stored
 
 #: Labelled rows that a model is fitted on, at most about so many.
 SAMPLE = 16_000
@@ -162,7 +162,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> Dat
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    texts = docs.select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"))
     one = F.broadcast(known)  # about `sample` rows of two numbers
     return texts.join(one, F.col("__doc") == F.col("__id")).select("__id", "text", "y")
 
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = [model.score(part) for part in tv.slices(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(s) if s else np.zeros(0))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -227,4 +227,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         s = [model.score(part) for part in tv.slices(pa.Array.from_pandas(text, type=pa.string()))]
         return pd.Series(np.concatenate(s) if s else np.zeros(0))
 
-    return docs.where(of(F.col("text").cast("string")) < threshold)
+    return small_batches(docs).where(of(F.col("text").cast("string")) < threshold)
