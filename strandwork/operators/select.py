@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -326,15 +327,31 @@ def choose(rows: list[dict], k: Knobs, genes: dict[str, frozenset[str]] | None =
 
 
 def fold(hits: DataFrame, variants: dict[str, Knobs]) -> DataFrame:
-    """(variant, query_id, rank, genome_id, stage, position) under each set of knobs, in one pass over the hits."""
+    """(variant, query_id, rank, genome_id, stage, position) under each set of knobs, in one pass over the hits.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("rank").astype(object).where(lambda d: d.notna(), None).to_dict("records")
-        out = []
-        for name, k in variants.items():
-            out += [(name, r["query_id"], r["rank"], r["genome_id"], s, p) for r, (s, p) in zip(rows, choose(rows, k), strict=True)]
-        frame = pd.DataFrame(out, columns=["variant", "query_id", "rank", "genome_id", "stage", "position"])
-        return frame.astype({"position": "Int32"})
+    Hits of one query come one after another in a sorted partition, so memory holds one query's list.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+
+        def decided(rows: list[dict]) -> list[tuple]:
+            return [(name, r["query_id"], r["rank"], r["genome_id"], s, p) for name, k in variants.items() for r, (s, p) in zip(rows, choose(rows, k), strict=True)]
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=["variant", "query_id", "rank", "genome_id", "stage", "position"]).astype({"position": "Int32"})
+
+        for f in frames:
+            out: list[tuple] = []
+            for r in f.astype(object).where(f.notna(), None).to_dict("records"):
+                if held and held[0]["query_id"] != r["query_id"]:
+                    out += decided(held)
+                    held = []
+                held.append(r)
+            yield frame(out)
+        if held:
+            yield frame(decided(held))
 
     kind = hits.schema["query_id"].dataType.simpleString()
-    return hits.groupBy("query_id").applyInPandas(run, f"variant string, query_id {kind}, rank int, genome_id string, stage string, position int")
+    together = hits.repartition("query_id").sortWithinPartitions("query_id", "rank")
+    return together.mapInPandas(run, f"variant string, query_id {kind}, rank int, genome_id string, stage string, position int")
