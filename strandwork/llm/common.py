@@ -46,8 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def stored_so_far() -> int:
+    return len(_made)
+
+
+def drop_stored(spark: SparkSession, since: int, keep: Sequence[str] = ()) -> None:
+    """Deletes what was stored since then, when nothing lazy reads it any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in [p for p in _made[since:] if p not in keep]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        _made.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -114,3 +114,13 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert {r["doc_id"] for r in kept["mixing"]} <= {r["doc_id"] for r in kept["secrets"]}
     got = sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in kept["packing"]), key=repr)
     assert got == brute_pieces(kept["mixing"])
+
+
+def test_pipeline_run_leaves_only_its_result(spark, sf):
+    import corpus_pipeline
+
+    from strandwork.llm import common
+
+    since = common.stored_so_far()
+    out = corpus_pipeline.run(spark, sf)
+    assert out.count() > 0 and common.stored_so_far() == since + 1
