@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 Z95 = 1.959963984540054
 
@@ -58,3 +60,28 @@ def t_quantile(p: float, df: int) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
     return (lo + hi) / 2
+
+
+def t_interval(df: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
+    """Mean with its interval by Student's t; a single value is its own interval."""
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        known = {m: t_quantile(0.5 + level / 2, int(m) - 1) for m in set(n) if m > 1}
+        return n.map(lambda m: known.get(m, 0.0))
+
+    a = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    half = quantile("n") * F.col("sd") / F.sqrt("n")
+    return a.withColumn("half", half).select(*keys, "n", "mean", (F.col("mean") - F.col("half")).alias("low"), (F.col("mean") + F.col("half")).alias("high"))
+
+
+def bootstrap_corr(df: DataFrame, key: str, x: str, y: str, replicates: int = 200, seed: int = 1729) -> DataFrame:
+    """Percentile interval of a correlation over resamples drawn by a hash of (replicate, place, seed); one row.
+
+    Draws are integers of a hash, so reruns agree; a replicate's sums are pre-aggregated by task.
+    """
+    n = df.count()
+    rows = df.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    draws = rows.select("i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).select("replicate", (F.pmod(F.xxhash64("replicate", "i", F.lit(seed)), F.lit(max(n, 1))) + 1).cast("int").alias("i"))
+    each = draws.join(rows, "i").groupBy("replicate").agg(F.corr("x", "y").alias("r"))
+    return each.agg(F.count("r").alias("replicates"), F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"))

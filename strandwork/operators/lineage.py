@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def resolve(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(tax_id, depth, ancestor, rank, name): every node with all its ancestors, by doubling of pointers' reach."""
+    """(tax_id, depth, ancestor, rank, name): every node with all its ancestors, one level of parents at a time."""
     reach = nodes.select("tax_id", F.lit(0).alias("depth"), F.col("tax_id").alias("ancestor"))
     step = nodes.select(F.col("tax_id").alias("ancestor"), F.col("parent").alias("next")).where("ancestor <> next and next is not null")
     front, every = reach, reach

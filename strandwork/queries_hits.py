@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import stats, text
-from .operators import genes, hits, scoring, select
-from .queries import query, t
+from .operators import genes, hits, reports, retrieval, scoring, select
+from .queries import _TWO, _neighbours, _two, query, t
 
 # lineitem as a hit table of orders; every number below has the same expression on both sides
 
@@ -484,3 +484,105 @@ def watch_ingest(spark, sf):
     stream = watch.arrivals(spark, f"{base}/in", src._jdf.schema().toDDL())
     watch.ingest(stream, f"{base}/out", f"{base}/checkpoint", "event_id", lambda b: b.select("event_id", "event_type")).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "event_type")
+
+
+# Retrieval, reports, intervals
+
+@query(_TWO + """, c AS (SELECT a.query_id, a.rank AS true_rank, b.rank AS pos FROM a LEFT JOIN b ON a.query_id = b.query_id AND a.ref_id = b.ref_id WHERE a.rank <= 5),
+e AS (SELECT query_id, k.k, bool_or(true_rank = 1 AND pos <= k.k) AS first, count(*) FILTER (pos <= k.k) AS n_in, count(*) AS n_true FROM c, (VALUES (1), (5), (10), (20)) k(k) GROUP BY 1, 2)
+SELECT k::INTEGER AS k, count(*) AS n, round(avg(first::INT), 9) AS first_found, round(avg((n_in = n_true)::INT), 9) AS all_found, sum(n_in)::DOUBLE / sum(n_true) AS recall FROM e GROUP BY k""")
+def recall_at_k(spark, sf):
+    r = retrieval.recall_at(*_two(spark, sf))
+    return r.withColumns({c: F.round(c, 9) for c in ("first_found", "all_found")})
+
+
+@query(_TWO + "SELECT a.query_id, (b.rank - 1)::BIGINT AS place FROM a LEFT JOIN b ON a.query_id = b.query_id AND a.ref_id = b.ref_id WHERE a.rank = 1")
+def known_item_place(spark, sf):
+    a, b = _two(spark, sf)
+    return retrieval.place_of(b, a.where("rank = 1").select("query_id", "ref_id"))
+
+
+@query(HITS_SQL + """, f AS (SELECT query_id, align_score AS floor FROM hits WHERE rank = 3), n AS (SELECT h.query_id, count(*) FILTER (h.align_score >= f.floor) AS n_as_good FROM hits h JOIN f ON h.query_id = f.query_id WHERE h.identity >= 0.93 GROUP BY 1)
+SELECT query_id, n_as_good, n_as_good >= 3 AS equivalent FROM n""")
+def equivalent_top(spark, sf):
+    h = hit_table(spark, sf)
+    return retrieval.equivalent_top(h, h.where("identity >= 0.93"), "align_score", 3)
+
+
+@query(UNION_SQL + """, s AS (SELECT query_id, min(tier) AS tier, count(*) FILTER (disposition = 'selected') AS k FROM u GROUP BY 1), x AS (SELECT CASE WHEN tier = 'below' THEN 'abstain_below_family' WHEN k = 0 THEN 'abstain_reliability' ELSE 'ok' END AS status FROM s)
+SELECT status, count(*) AS n, CASE status WHEN 'ok' THEN 'mapped' WHEN 'abstain_reliability' THEN 'no hit passed the reliability gate' ELSE 'too far from every reference' END AS explanation FROM x GROUP BY status""")
+def abstention(spark, sf):
+    return reports.abstentions(select.summary(_union(spark, sf)))
+
+
+@query(UNION_SQL + """, s AS (SELECT query_id, min(tier) AS tier, max(CASE WHEN role = 'anchor' THEN genome_id END) AS anchor, count(*) FILTER (disposition = 'selected') AS n_selected, count(*) AS n_hits, max(CASE WHEN role = 'anchor' THEN identity END) AS anchor_identity, max(CASE WHEN role = 'anchor' THEN species END) AS anchor_species FROM u GROUP BY 1)
+SELECT o_orderkey AS query_id, CASE WHEN s.query_id IS NULL THEN 'no_hits' WHEN tier = 'below' THEN 'abstain_below_family' WHEN n_selected = 0 THEN 'abstain_reliability' ELSE 'ok' END AS status, tier, anchor, coalesce(n_selected, 0) AS n_selected, anchor_identity, anchor_species, coalesce(n_hits, 0) AS n_hits FROM orders LEFT JOIN s ON o_orderkey = s.query_id""")
+def mapping_summary(spark, sf):
+    u = _union(spark, sf)
+    return reports.mapping(select.summary(u), u, t(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id")))
+
+
+@query()
+def audits_agree(spark, sf):
+    from dataclasses import replace
+
+    h = hit_table(spark, sf)
+    return reports.audits_agree(select.union(h), select.union(h, replace(select.EXACT_TIE, window=0.01)))
+
+
+@query(UNION_SQL + """, sl AS (SELECT query_id, rank, stage, CASE WHEN taxon_id % 20 = query_id % 20 THEN 0 WHEN taxon_id % 5 = query_id % 5 THEN 1 ELSE 2 END AS d FROM u), sb AS (SELECT query_id, arg_min(d, d * 1000 + rank) AS lvl, arg_min(stage, d * 1000 + rank) AS stage FROM sl GROUP BY 1)
+SELECT CASE lvl WHEN 0 THEN 'genome' WHEN 1 THEN 'genus' ELSE 'none' END AS level, stage, count(*) AS n FROM sb GROUP BY 1, 2""")
+def salvage_levels(spark, sf):
+    m = lambda k: F.col("taxon_id") % k == F.col("query_id") % k
+    return reports.salvage(_union(spark, sf), {"genome": m(20), "genus": m(5)})
+
+
+@query(_GENES + "SELECT query_id, CASE WHEN count(genome_id) FILTER (genome_id % 3 <> 0) = 0 THEN 'failed' ELSE 'built' END AS status, count(*) FILTER (genome_id % 3 = 0) AS n_failed FROM chosen GROUP BY query_id")
+def function_union_status(spark, sf):
+    g, c = _gene_tables(spark, sf)
+    fetched = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("genome_id")).where("genome_id % 3 <> 0")
+    _, status = reports.function_union(c, g.withColumnRenamed("gene", "function"), fetched)
+    return status.select("query_id", "status", F.size("failed").cast("long").alias("n_failed"))
+
+
+@query()
+def upload_batches(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", "n_chars")
+    return reports.upload_batches(d, "doc_id", "n_chars", 50_000, 40)
+
+
+@query()
+def t_intervals(spark, sf):
+    from .functions.stats import t_interval
+
+    return t_interval(t(spark, sf, "customer"), ["c_nationkey"], "c_acctbal")
+
+
+@query()
+def bootstrap_interval(spark, sf):
+    from .functions.stats import bootstrap_corr
+
+    return bootstrap_corr(t(spark, sf, "part"), "p_partkey", "p_size", "p_retailprice", 50)
+
+
+@query()
+def cluster_routing(spark, sf):
+    """Whether a query's true nearest vector lies in the clusters whose representatives are nearest to it."""
+    from .operators import knn
+
+    v = t(spark, sf, "embeddings")
+    model, assigned = retrieval.clusters(v, "vec_id", "embedding")
+    reps = retrieval.representatives(v, assigned, model, "vec_id", "embedding")
+    near = knn.top_k(v, v.join(reps, "vec_id", "left_semi"), "vec_id", "embedding", 10)
+    order = near.join(reps.withColumnRenamed("vec_id", "ref_id"), "ref_id").select("query_id", "cluster", "rank")
+    return retrieval.routed(_neighbours(spark, sf, 1).select("query_id", "ref_id"), assigned, order, "vec_id")
+
+
+@query()
+def encode_search(spark, sf):
+    """Benchmark texts against documents by hashed k-mer vectors, the substitute encoder."""
+    from .operators import knn
+
+    q = retrieval.encode(t(spark, sf, "benchmark").select(F.col("item_id").alias("k"), "text"), "text")
+    d = retrieval.encode(t(spark, sf, "documents").select(F.col("doc_id").alias("k"), "text"), "text")
+    return knn.top_k(q, d, "k", "embedding", 5, skip_self=False)

@@ -144,3 +144,34 @@ def test_allocation_fills_and_caps(spark):
     s = spark.createDataFrame([("p", "a", 100), ("p", "b", 1), ("p", "c", 25), ("q", "d", 2)], "parent string, child string, n long")
     got = {r["child"]: r["allocated"] for r in scoring.allocate(s, "parent", "child", "n", 20).collect()}
     assert got["d"] == 2 and got["b"] == 1 and got["a"] + got["b"] + got["c"] == 20
+
+
+def test_reports(spark):
+    from strandwork.operators import reports
+
+    a = spark.createDataFrame([(1, 1, "x", "selected", "anchor"), (1, 2, "y", "excluded", None), (2, 1, "x", "excluded", None)], "query_id long, rank int, genome_id string, disposition string, role string")
+    b = spark.createDataFrame([(1, 1, "y", "selected", "anchor"), (1, 2, "x", "selected", "congener"), (3, 1, "z", "selected", "anchor")], "query_id long, rank int, genome_id string, disposition string, role string")
+    got = {r["query_id"]: r for r in reports.audits_agree(a, b).collect()}
+    assert (got[1]["jaccard"], got[1]["same_anchor"], got[1]["anchor_rank"]) == (0.5, False, 2)
+    assert got[2]["jaccard"] is None and got[2]["abstains_a"] and got[2]["abstains_b"] and got[3]["abstains_a"] and not got[3]["abstains_b"]
+    m = spark.createDataFrame([(k, s) for k, s in enumerate([5, 5, 5, 20, 1, 1, 1, 1])], "k long, s long")
+    assert [r["batch"] for r in reports.upload_batches(m, "k", "s", 10, 3).orderBy("k").collect()] == [0, 0, 1, 2, 3, 3, 3, 4]
+    f = spark.createDataFrame([("f", "CDS", ["t1", "t2"], {"a": "x", "b": ""}, "n" * 900)], "id string, type string, functions array<string>, aliases map<string,string>, note string")
+    r = reports.external(f, "e").first()
+    assert r["aliases"] == {"a": "x"} and r["ontology_terms"] == {"e": {"t1": [0], "t2": [1]}} and len(r["note"]) == 800
+
+
+def test_encoder_is_unit_and_deterministic(spark):
+    from strandwork.operators import retrieval
+
+    df = spark.createDataFrame([(1, "acgtacgtacgt"), (2, "ACGTACGTACGT"), (3, None), (4, "ab")], "k long, s string")
+    v = {r["k"]: r["embedding"] for r in retrieval.encode(df, "s").collect()}
+    assert v[1] == v[2] and sum(x * x for x in v[1]) == pytest.approx(1.0, abs=1e-5) and sum(v[3]) == 0
+
+
+def test_t_interval(spark):
+    from strandwork.functions.stats import t_interval
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 5.0)], "g string, x double")
+    got = {r["g"]: r for r in t_interval(df, ["g"], "x").collect()}
+    assert got["a"]["high"] - 2.0 == pytest.approx(4.302653 / 3**0.5, abs=1e-3) and got["b"]["low"] == got["b"]["high"] == 5.0
