@@ -23,8 +23,8 @@ def _lean() -> None:
     """Freed memory goes back to the system at once: workers share their machine with an executor's heap."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 19)  # blocks above are mapped, not kept
-        libc.mallopt(-1, 1 << 20)
+        libc.mallopt(-3, 16 << 20)  # blocks above are mapped, not kept
+        libc.mallopt(-1, 32 << 20)
         pa.set_memory_pool(pa.system_memory_pool())
     except (OSError, AttributeError):
         pass
