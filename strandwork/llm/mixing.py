@@ -81,7 +81,8 @@ def plan(docs: DataFrame, size: Column, source: Column, doc_id: Column, weights:
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") * UNIT / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     out = out.withColumn("rate", F.least(rate, F.lit(max_repeat * UNIT)))
     levels = [["has_source", "source"], ["has_source", "source", "size_class"], ["has_source", "source", "size_class", "slice"]]
-    out = prefix_sums(out, levels, ["key", "doc_id"], "rate", "before")
+    out = out.withColumn("content", F.xxhash64("row") if keep_row else F.lit(0))  # rows with the same id keep their order in reruns
+    out = prefix_sums(out, levels, ["key", "doc_id", "size", "content"], "rate", "before")
     u = F.lit(offset(seed))
     crossed = lambda x: F.shiftright(x + u, 24)
     out = out.withColumn("copies", (crossed(F.col("before") + F.col("rate")) - crossed(F.col("before"))).cast("long"))
@@ -118,7 +119,7 @@ rated AS (
          CASE WHEN g.source_size > 0 THEN least(floor(g.target * {UNIT} / g.source_size)::BIGINT, {3 * UNIT}) ELSE 0 END AS rate
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
 summed AS (
-  SELECT *, (sum(rate) OVER (PARTITION BY source ORDER BY size_class, key, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM rated)
+  SELECT *, (sum(rate) OVER (PARTITION BY source ORDER BY size_class, key, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM rated)
 SELECT doc_id, size, source_size, target,
        ((upto + {offset(1)}) >> 24) - ((upto - rate + {offset(1)}) >> 24) AS copies,
        (((upto + {offset(1)}) >> 24) - ((upto - rate + {offset(1)}) >> 24)) * size AS taken
