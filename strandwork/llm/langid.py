@@ -28,8 +28,6 @@ from .common import fold, small_batches
 BITS = 16
 COLUMNS = 1 << BITS
 SAMPLE = 3_000
-#: Texts whose columns are counted at once.
-BATCH = 32
 _ASCII = np.zeros(256, bool)
 _ASCII[np.r_[65:91, 97:123]] = True
 _FOLD = np.full(0x250, 32, np.uint32)
@@ -47,35 +45,34 @@ def letters(part: tv.Slice) -> np.ndarray:
     return out
 
 
-def columns(part: tv.Slice) -> Iterator[tuple[int, np.ndarray]]:
-    """(first text, counts by text and column) of up to BATCH texts at a time."""
-    for a in range(0, len(part), BATCH):
-        b = min(a + BATCH, len(part))
-        lo, hi = int(part.offsets[a]), int(part.offsets[b])
-        data = part.data[lo:hi]
-        points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        border = lead[part.offsets[a : b + 1] - lo]
-        points = np.where(points < 0x250, _FOLD[np.minimum(points, 0x24F)], points)
-        text = np.repeat(np.arange(b - a), np.diff(border)).astype(np.int64)
-        x = np.zeros((b - a) * COLUMNS, np.float32)
-        shift = np.uint32(32 - BITS)
-        gram = np.zeros(len(points), np.uint32)
-        for order in (1, 2, 3):
-            size = len(points) - order + 1
-            if size <= 0:
-                break
-            gram = (gram[:size] * np.uint32(2654435761) + points[order - 1 :] * np.uint32(40503) + np.uint32(order)) * np.uint32(2246822519)
-            inside = text[order - 1 :] == text[:size]
-            key = (text[:size] << BITS) + ((gram ^ (gram >> np.uint32(15))) * np.uint32(3266489917) >> shift)
-            x += np.bincount(key[inside], minlength=len(x))
-        yield a, x.reshape(b - a, COLUMNS)
-
-
-def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit rows of log-scaled counts times inverse document frequency."""
-    x = np.log1p(counts) * idf
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+def columns(part: tv.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry of each text and the end, column, count): the different columns of each text, in order."""
+    points = np.frombuffer(part.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    lead = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
+    border = lead[part.offsets]
+    points = np.where(points < 0x250, _FOLD[np.minimum(points, 0x24F)], points)
+    text = np.repeat(np.arange(len(part)), np.diff(border))
+    gram, keys = np.zeros(len(points), np.uint32), []
+    for order in (1, 2, 3):
+        size = len(points) - order + 1
+        if size <= 0:
+            break
+        gram = (gram[:size] * np.uint32(2654435761) + points[order - 1 :] * np.uint32(40503) + np.uint32(order)) * np.uint32(2246822519)
+        column = (gram ^ (gram >> np.uint32(15))) * np.uint32(3266489917) >> np.uint32(32 - BITS)
+        inside = text[order - 1 :] == text[:size]
+        keys.append(((text[:size] << BITS) + column)[inside])
+    key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return np.searchsorted(key, np.arange(len(part) + 1) << BITS), key & (COLUMNS - 1), count
+
+
+def weighed(at: np.ndarray, column: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Log-scaled counts times inverse document frequency, each text's with unit length."""
+    x = np.log1p(count) * idf[column]
+    sums = np.concatenate([[0.0], np.cumsum(x * x)])
+    return x / np.repeat(np.maximum(np.sqrt(sums[at[1:]] - sums[at[:-1]]), 1e-9), np.diff(at))
 
 
 @dataclass
@@ -89,9 +86,14 @@ class Model:
     def predict(self, part: tv.Slice) -> tuple[list[str], np.ndarray]:
         lang, score = np.full(len(part), -1), np.zeros(len(part))
         if self.langs:
-            for a, counts in columns(part):
-                p = softmax((weighed(counts, self.idf) @ self.weights + self.bias) / self.temperature)
-                lang[a : a + len(p)], score[a : a + len(p)] = p.argmax(1), p.max(1)
+            at, column, count = columns(part)
+            x = weighed(at, column, count, self.idf)
+            full = np.flatnonzero(np.diff(at))
+            z = np.tile(self.bias.astype(float), (len(part), 1))
+            if len(full):
+                z[full] += np.add.reduceat(x[:, None] * self.weights[column], at[full], axis=0)
+            p = softmax(z / self.temperature)
+            lang, score = p.argmax(1), p.max(1)
             none = ~letters(part)
             lang[none], score[none] = -1, 0.0
         return [self.langs[k] if k >= 0 else "und" for k in lang], score
@@ -140,8 +142,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for b in batches:
             docs_n += b.num_rows
             for part in tv.slices(b.column(0)):
-                for _, counts in columns(part):
-                    df += np.count_nonzero(counts, 0)
+                df += np.bincount(columns(part)[1], minlength=COLUMNS)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], docs_n))], names=["col", "df"])
 
@@ -159,11 +160,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for b in batches:
             cols, vals = [], []
             for part in tv.slices(b.column(1)):
-                for _, counts in columns(part):
-                    for row in weighed(counts, idf):
-                        at = np.flatnonzero(row)
-                        cols.append(at.astype(np.uint16).tobytes())
-                        vals.append(row[at].astype(np.float32).tobytes())
+                at, column, count = columns(part)
+                x = weighed(at, column, count, idf)
+                cols += [column[a:b].astype(np.uint16).tobytes() for a, b in zip(at, at[1:], strict=False)]
+                vals += [x[a:b].astype(np.float32).tobytes() for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cols, pa.binary()), pa.array(vals, pa.binary())], names=["id", "lang", "cols", "vals"])
 
     got = chosen.mapInArrow(sparse, "id long, lang string, cols binary, vals binary").toPandas().sort_values(["id", "lang"])
