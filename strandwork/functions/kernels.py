@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 # Local alignment scores (match, mismatch, gap open, gap extend).
@@ -61,19 +63,42 @@ def local_score(a: str, b: str, scores: tuple[float, float, float, float] = SCOR
     return best
 
 
+def _rows(a: str, y: np.ndarray, scores: tuple[float, float, float, float]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(h, e, f) of each row of the local alignment of a with the code points y; a gap's opening costs no less than its extension."""
+    match, mismatch, open_, extend = scores
+    n = len(y)
+    h, up, slope = np.zeros(n + 1), np.full(n + 1, -np.inf), extend * np.arange(n + 1)
+    for ch in a:
+        up = np.maximum(up + extend, h + open_)
+        up[0] = -np.inf
+        step = np.zeros(n + 1)
+        step[1:] = np.maximum(0.0, np.maximum(h[:-1] + np.where(y == ord(ch), match, mismatch), up[1:]))
+        left = np.full(n + 1, -np.inf)
+        left[1:] = np.maximum.accumulate(step - slope)[:-1] + open_ - extend + slope[1:]
+        h = np.maximum(step, left)
+        h[0] = 0.0
+        yield h, left, up
+
+
 def local_alignment(a: str, b: str, scores: tuple[float, float, float, float] = SCORES) -> dict[str, float]:
-    """Score, matches, columns, identity and the aligned place in b; ties go diagonal, then up, then left."""
+    """Score, matches, columns, identity and the aligned place in b; ties go diagonal, then up, then left.
+
+    Only one row of the whole of b is held; the way back is found in a window that no alignment of a's prefix can leave.
+    """
     match, mismatch, open_, extend = scores
-    n, m = len(a), len(b)
-    h = np.zeros((n + 1, m + 1))
-    e, f = np.full((n + 1, m + 1), -np.inf), np.full((n + 1, m + 1), -np.inf)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            e[i, j] = max(e[i, j - 1] + extend, h[i, j - 1] + open_)
-            f[i, j] = max(f[i - 1, j] + extend, h[i - 1, j] + open_)
-            h[i, j] = max(0.0, h[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), e[i, j], f[i, j])
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    score, end = float(h[i, j]), int(j)
+    assert open_ <= extend < 0
+    y = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32)
+    score, i, end = 0.0, 0, 0
+    for k, (row, _, _) in enumerate(_rows(a, y, scores), 1):
+        at = int(row.argmax())
+        if row[at] > score:
+            score, i, end = float(row[at]), k, at
+    # matches are at most i, and a column of a gap takes at least -extend of what they give
+    low = max(0, end - i - int(match * i / -extend) - 1)
+    b, j = b[low:end], end - low
+    h, e, f = np.zeros((i + 1, j + 1)), np.full((i + 1, j + 1), -np.inf), np.full((i + 1, j + 1), -np.inf)
+    for k, (row, left, up) in enumerate(_rows(a[:i], y[low:end], scores), 1):
+        h[k], e[k], f[k] = row, left, up
     same = columns = 0
     state = "h"
     while state != "h" or h[i, j] > 0:
@@ -92,7 +117,7 @@ def local_alignment(a: str, b: str, scores: tuple[float, float, float, float] =
             columns += 1
             state = "h" if e[i, j] == h[i, j - 1] + open_ else "e"
             j -= 1
-    return {"score": score, "n_matches": int(same), "aligned_len": int(columns), "identity": same / columns if columns else 0.0, "ref_start": int(j), "ref_end": end}
+    return {"score": score, "n_matches": int(same), "aligned_len": int(columns), "identity": same / columns if columns else 0.0, "ref_start": int(low + j), "ref_end": end}
 
 
 def fuzzy_find(pattern: str, sequence: str, edits: int, start: int = 0) -> tuple[int, int, int] | None:

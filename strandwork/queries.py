@@ -388,5 +388,5 @@ def sw_exhaustive(spark, sf):
 @query()
 def align_pipeline(spark, sf):
     b, d = t(spark, sf, "benchmark"), t(spark, sf, "documents")
-    p = align.shared_kmers(b, d, "item_id", "doc_id", "text", 8, 5)
-    return align.edit_candidates(align.with_sequences(p, b, d, "item_id", "doc_id", "text"), 5).select("query_id", "ref_id", "edit_distance", "rank")
+    p = align.shared_kmers(b, d, "item_id", "doc_id", "text")
+    return align.rescore(align.edit_candidates(align.with_sequences(p, b, d, "item_id", "doc_id", "text")))
