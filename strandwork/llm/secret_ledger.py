@@ -8,8 +8,9 @@ the blob.  One path stands for each new blob: the least, by a pre-aggregated
 minimum, so thousands of copies cost one scan and no group is gathered.
 
 Rules: the three base patterns, and more kinds that only add spans: private key
-blocks, vendor token formats, JSON web tokens, and passwords within URLs.  A span
-of an added kind that overlaps a base span is left out.
+blocks (up to their END line, or to the end of a text without one), vendor token
+formats, JSON web tokens, and passwords within URLs.  Spans of added kinds may
+overlap base spans; redact() cuts out their union.
 
 Nulls: a null text is an empty one; a null id is a path like any other.  Repeated
 rows give repeated results.  Empty tables give empty results.  Extra columns are
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import new_path, small, small_batches, stored
 
 #: Changes whenever a pattern does, so ledgers keep findings of different rules apart.
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 
 # The base patterns of the contract and public formats of vendor tokens.
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,13 +38,13 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _MORE = (
-    ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[^-]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?")),
+    ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)),
     ("github", "gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
     ("slack", "xox", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("google", "AIza", re.compile(r"AIza[A-Za-z0-9_-]{35}")),
     ("stripe", "_live_", re.compile(r"[sr]k_live_[A-Za-z0-9]{16,}")),
-    ("url_login", "://", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{1,100}@")),
+    ("url_login", "://", re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/@]+@")),
 )
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in _MORE))
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -61,7 +62,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     more = []
     for kind, hint, pattern in _MORE:
         if hint in text:
-            more += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in base)]
+            more += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     return sorted(base + more, key=lambda s: (s[0], _ORDER[s[2]]))
 
 
