@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, small, small_batches, stored
@@ -81,13 +82,22 @@ class Ledger:
         self.path = path
         self.parts: list[str] = []
 
+    def refresh(self, spark: SparkSession) -> None:
+        """Takes in the whole parts that other sessions wrote."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        found = jvm.org.apache.hadoop.fs.Path(f"{self.path}/part-*/_SUCCESS")
+        for status in found.getFileSystem(conf).globStatus(found) or []:
+            part = f"{self.path}/{status.getPath().getParent().getName()}"
+            if part not in self.parts:
+                self.parts.append(part)
+
     def findings(self, spark) -> DataFrame:
         if not self.parts:
             return spark.createDataFrame([], _FOUND + ", rule_version string")
         return spark.read.schema(_FOUND + ", rule_version string").parquet(*self.parts)
 
     def append(self, found: DataFrame) -> None:
-        part = f"{self.path}/part-{len(self.parts)}"
+        part = f"{self.path}/part-{uuid.uuid4().hex}"
         found.withColumn("rule_version", F.lit(RULE_VERSION)).write.parquet(part)
         self.parts.append(part)
 
@@ -96,6 +106,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
     """(doc_id, blob, spans, n_assign, n_access, n_hex, base_sha256) for every row of docs; the ledger gets what was new."""
     spark = small_batches(docs).sparkSession
     ledger = ledger or Ledger(new_path(spark, "ledger"))
+    ledger.refresh(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     paths = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("blob")), "paths")
     seen = ledger.findings(spark).where(F.col("rule_version") == RULE_VERSION).select("blob")
@@ -124,7 +135,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
     unscanned = texts.join(fresh.withColumnRenamed("blob", "__blob").hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("path")) & (F.col("blob") == F.col("__blob")), "left_semi")
     ledger.append(unscanned.select("blob", "text").mapInArrow(run, _FOUND).dropDuplicates(["blob"]))
     found = ledger.findings(spark).where(F.col("rule_version") == RULE_VERSION).drop("rule_version")
-    hits = found.where("spans <> ''")
+    hits = found.where("spans <> ''").dropDuplicates(["blob"])  # two sessions may have scanned a blob at the same time
     blank = {"spans": F.lit(""), "base_sha256": F.lit(EMPTY_SHA), "n_assign": F.lit(0), "n_access": F.lit(0), "n_hex": F.lit(0)}
     back = paths.join(hits, "blob", "left")
     return back.select("doc_id", "blob", *[F.coalesce(F.col(c), blank[c].cast("string" if c in ("spans", "base_sha256") else "long")).alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])

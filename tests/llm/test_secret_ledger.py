@@ -21,3 +21,14 @@ PGP = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: a-b\n\n{BODY}-----END PG
 def test_whole_secrets_go(spark, text, want):
     out = secret_ledger.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert out.first()["text"] == want
+
+
+def test_a_second_ledger_on_the_same_path(spark):
+    path = secret_ledger.new_path(spark, "ledger-sessions")
+    df = spark.createDataFrame([(1, "password = abc123DEF"), (2, "nothing")], "doc_id long, text string")
+    more = df.union(spark.createDataFrame([(3, "token: zyx987WVU")], df.schema))
+    secret_ledger.scan(df, ledger=secret_ledger.Ledger(path))
+    second = secret_ledger.Ledger(path)
+    got = {r["doc_id"]: r["spans"] for r in secret_ledger.scan(more, ledger=second).collect()}
+    assert got == {1: "assign:0:20", 2: "", 3: "assign:0:16"}
+    assert sorted(spark.read.parquet(p).count() for p in second.parts) == [1, 2]
