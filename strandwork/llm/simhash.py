@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from math import ceil, comb, log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -293,20 +294,32 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """(id, fp, component_id) for every row of docs."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """(id, fp, component_id, root) for every row of docs; root names the class, whatever its ids."""
     fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = components(links(nodes, max_bits))
     labelled = stored(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "labels")
     lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = labelled.join(lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("id", "fp", "component_id")
+    named = labelled.join(lowest, "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select("id", "fp", "component_id", "root")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """(id, fp, component_id) for every row of docs."""
+    return _rooted(docs, id_col, text_col, shingle, max_bits).select("id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """docs without all but the row with the smallest id of each class; rows with a null id stay."""
-    keep = classes(docs, id_col, text_col, shingle, max_bits).where("id = component_id").select(F.col("id").alias("__keep")).distinct()
-    one = docs.where(F.col(id_col).isNotNull())
-    kept = one.join(keep.hint("shuffle_hash"), one[id_col] == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of docs of each class: that with the smallest id, then fingerprint; a class without ids keeps one row."""
+
+    @F.pandas_udf("long")
+    def fingerprint(text):  # noqa: ANN001, ANN202
+        fps = [fingerprints_of(s, shingle) for s in tv.slices(pa.array(text, pa.string(), from_pandas=True))]
+        return pd.Series((np.concatenate(fps) if fps else np.zeros(0, np.uint64)).view(np.int64))
+
+    least = F.min(F.struct(F.col("id").isNull().alias("__none"), F.coalesce("id", F.lit(0)).alias("__id"), F.col("fp").alias("__fp")))
+    keep = stored(_rooted(docs, id_col, text_col, shingle, max_bits).groupBy("root").agg(least.alias("least")).select("least.*"), "kept")
+    keys = {"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__fp": fingerprint(F.col(text_col).cast("string"))}
+    kept = small_batches(docs).withColumns(keys).join(keep.hint("shuffle_hash"), list(keys), "left_semi").dropDuplicates(list(keys))
+    return kept.select(*docs.columns)
