@@ -27,6 +27,27 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def hash63(key: Column | str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key), 1)
+
+
+def threshold(part: int, whole: int) -> int:
+    """The 63-bit hashes below it are part / whole of all."""
+    return min((1 << 63) - 1, (part << 63) // max(whole, 1))
+
+
+def hashed_below(key: Column | str, part: int, whole: int) -> Column:
+    """Whether a row is among about `part` of `whole` rows chosen by the hash of a key, at any size."""
+    return hash63(key) < F.lit(threshold(part, whole))
+
+
+def one_label(labels: DataFrame, label: str, folds: int, held: int, worst: int) -> DataFrame:
+    """(__id, y) of rows outside the held fold, one row per id; if its labels differ, y is `worst`."""
+    known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("__id").isNotNull())
+    y = F.max("y") if worst else F.min("y")
+    return known.where(fold("__id", folds) != held).groupBy("__id").agg(y.alias("y"))
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df; from now on its session hands Python at most 1,000 rows at a time, unless a number was chosen."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -108,16 +108,20 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: Sequence[int] | None = None, tre
 
 
 def isotonic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the rising step fit of y on z, by pooling adjacent violators; one knot in the middle of each pool."""
-    order = np.argsort(z, kind="stable")
-    pools: list[list[float]] = []
-    for a, b in zip(z[order], y[order], strict=True):
-        pools.append([a, b, 1.0])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            last = pools.pop()
-            pools[-1] = [u + v for u, v in zip(pools[-1], last, strict=True)]
-    at = np.array([p[0] / p[2] for p in pools])
-    return at, np.array([p[1] / p[2] for p in pools])
+    """Knots of the rising fit of y on z: equal z are one point, then adjacent violators are pooled.
+
+    Each pool has its mean from its least to its greatest z; between pools the fit is straight.
+    """
+    place, inverse = np.unique(z, return_inverse=True)
+    pools: list[list[float]] = []  # least z, greatest z, sum, weight
+    for a, total, weight in zip(place, np.bincount(inverse, y), np.bincount(inverse), strict=True):
+        pools.append([a, a, total, float(weight)])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            _, high, total, weight = pools.pop()
+            low = pools[-1]
+            pools[-1] = [low[0], high, low[2] + total, low[3] + weight]
+    knots = [(at, p[2] / p[3]) for p in pools for at in sorted({p[0], p[1]})]
+    return np.array([k[0] for k in knots]), np.array([k[1] for k in knots])
 
 
 def fit_calibrated(x: np.ndarray, y: np.ndarray, folds: int = 3, **how: object) -> Trees:

@@ -3,8 +3,8 @@
 N-grams of one to three code points (other than letters count as a blank) are
 hashed to 2^16 columns.  Document frequencies are counted over every training
 document; the weights are learned by follow-the-regularised-leader (proximal,
-per coordinate) with an elastic net, on at most `sample` training rows chosen by a
-hash of the id; a temperature is then fitted on a fifth of these that was kept out.
+per coordinate) with an elastic net, on about `sample` training rows chosen by a
+hash of the id, of each language in proportion but `quota` at least; a temperature is then fitted on a fifth of these that was kept out.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; a null lang is
 not learned from; a null id counts as the empty text for its fold.  Without training
@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import fold, small_batches
+from .common import fold, hash63, small_batches, threshold
 
 BITS = 16
 COLUMNS = 1 << BITS
-SAMPLE = 3_000
+#: Training rows that the weights are fitted on, about; and so many of each language at least (all, if it has fewer).
+SAMPLE, QUOTA = 3_000, 60
 _ASCII = np.zeros(256, bool)
 _ASCII[np.r_[65:91, 97:123]] = True
 _FOLD = np.full(0x250, 32, np.uint32)
@@ -133,9 +134,9 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, quota: int = QUOTA) -> Model:
     """Learns from text and lang of rows outside fold 1 of 3."""
-    train = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold("doc_id", 3) != 1).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    train = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(fold("doc_id", 3) != 1).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs_n = np.zeros(COLUMNS, np.int64), 0
@@ -154,7 +155,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     real = df["col"] >= 0
     seen[df.loc[real, "col"].to_numpy()] = df.loc[real, "df"]
     idf = np.log((total + 1) / (seen + 1)).astype(np.float32) + np.float32(1)
-    chosen = train.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * sample / total)) if total > sample else train
+    chosen = train
+    if total > sample:
+        rows_of = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language, as many as the model has
+        least = F.create_map(*[F.lit(x) for lang, n in rows_of.items() for x in (lang, threshold(max(sample * n // total, min(n, quota)), n))])
+        chosen = train.where(hash63(F.concat_ws("-", F.lit("lang"), F.col("doc_id").cast("string"))) < least[F.col("lang")])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,7 +171,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 vals += [x[a:b].astype(np.float32).tobytes() for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cols, pa.binary()), pa.array(vals, pa.binary())], names=["id", "lang", "cols", "vals"])
 
-    got = chosen.mapInArrow(sparse, "id long, lang string, cols binary, vals binary").toPandas().sort_values(["id", "lang"])
+    got = chosen.mapInArrow(sparse, "id long, lang string, cols binary, vals binary").toPandas().sort_values(["id", "lang", "cols", "vals"])
     langs = sorted(set(got["lang"]))
     y = np.searchsorted(langs, got["lang"].to_numpy().astype(str))
     rows = [(np.frombuffer(c, np.uint16).astype(np.int64), np.frombuffer(v, np.float32).astype(np.float64)) for c, v in zip(got["cols"], got["vals"], strict=True)]
@@ -189,4 +194,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 score.append(got[1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["doc_id", "lang_pred", "score"])
 
-    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -49,6 +49,8 @@ class FastIds:
     digits and signs is further cut at changes of class, as the tokenizer's own
     split does; any other word is encoded whole.  What is known lies in an
     open-addressing table of numpy arrays, which starts anew beyond `limit` runs.
+    A run that is found by its hash is compared byte by byte with the run that the
+    table holds; texts with a run that differs are encoded whole.
     """
 
     def __init__(self, path: str, limit: int = 699_000) -> None:
@@ -66,6 +68,9 @@ class FastIds:
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint16)
+        self.raw = np.zeros(8, np.uint8)  # the runs themselves, one after another, and eight zeros
+        self.raw_at = np.zeros(0, np.int64)
+        self.raw_n = np.zeros(0, np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The entry of each hash, or -1."""
@@ -83,8 +88,8 @@ class FastIds:
             todo = todo[~hit & (there != 0)]
         return out
 
-    def learn(self, h: np.ndarray, runs: list[bytes]) -> None:
-        """Encodes runs that are new and differ."""
+    def learn(self, h: np.ndarray, runs: list[bytes], keys: list[bytes]) -> None:
+        """Encodes runs that are new and differ in their hashes; keys: the runs as they are compared."""
         got: list[list[int]] = []
         model = self.tokenizer.model.tokenize
         hard = []
@@ -101,6 +106,10 @@ class FastIds:
         entry = len(self.at) + np.arange(len(h))
         self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.uint16, int(n.sum()))])
         self.at, self.n = np.concatenate([self.at, at]), np.concatenate([self.n, n])
+        size = np.fromiter(map(len, keys), np.int64, len(keys))
+        self.raw_at = np.concatenate([self.raw_at, len(self.raw) - 8 + np.cumsum(size) - size])
+        self.raw_n = np.concatenate([self.raw_n, size])
+        self.raw = np.concatenate([self.raw[:-8], np.frombuffer(b"".join(keys), np.uint8), np.zeros(8, np.uint8)])
         slot, todo = h & self.mask, np.arange(len(h))
         while len(todo):
             free = todo[self.keys[slot[todo]] == 0]
@@ -140,9 +149,14 @@ class FastIds:
         solid = kind[borders[:-1]] != _SPACE
         starts, ends = borders[:-1][solid], borders[1:][solid]
         h = tv.hashes(part, starts, ends, lower=True)
+        stream = part.stream(lower=True)
         if exact is not None:  # special tokens are told by case
             e = np.searchsorted(starts, exact)
             h[e] ^= tv.hashes(part, starts[e], ends[e]) << np.uint64(1) | np.uint64(1)
+            stream = stream.copy()
+            for a, b in zip(starts[e].tolist(), ends[e].tolist(), strict=True):
+                stream[a:b] = data[a:b]
+        h[h == 0] = 1
         entry = self.find(h)
         miss = np.flatnonzero(entry < 0)
         if len(miss):
@@ -150,14 +164,22 @@ class FastIds:
             if len(self.at) + len(new) > self.limit and len(self.at):
                 self.clear()
                 return self.encode(part)
-            raw = data.tobytes()
+            raw, low = data.tobytes(), stream.tobytes()
             s, t = starts[miss[first]].tolist(), ends[miss[first]].tolist()
-            self.learn(new, [raw[a:b] for a, b in zip(s, t, strict=True)])
+            self.learn(new, [raw[a:b] for a, b in zip(s, t, strict=True)], [low[a:b] for a, b in zip(s, t, strict=True)])
             entry[miss] = self.find(h[miss])
+        known = tv.same(stream, starts, ends, self.raw, self.raw_at[entry], self.raw_at[entry] + self.raw_n[entry])
         count = self.n[entry].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.repeat(self.at[entry] - total[:-1], count) + np.arange(total[-1])].astype(np.uint32)
-        return ids, np.diff(total[np.searchsorted(starts, part.offsets)])
+        border = total[np.searchsorted(starts, part.offsets)]
+        if known.all():
+            return ids, np.diff(border)
+        parts = [ids[a:b] for a, b in zip(border, border[1:], strict=False)]
+        for k in set(part.text_of(starts)[~known].tolist()):
+            text = data[part.offsets[k] : part.offsets[k + 1]].tobytes().decode()
+            parts[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 
 _encoders: dict[str, FastIds] = {}

@@ -10,7 +10,7 @@ crc32 of the id); every document is judged.
 
 Nulls: a null text has no words and fails the base rules; a null id is in fold 0
 and never learned from.  Without labels of both classes the verdict of the trees is
-their constant prior, and 1 without any label.  Repeated rows get equal results.
+their constant prior, and 1 without any label.  An id with different labels counts as bad.  Repeated rows get equal results.
 Empty tables give empty results.  Extra columns are ignored.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import gbt
 from . import textvec as tv
-from .common import fold, small_batches, stored
+from .common import hashed_below, one_label, small_batches, stored
 
 SAMPLE = 16_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -49,6 +49,32 @@ _DIGIT = _flags(bytes(range(48, 58)))
 _SIGN = _flags(b"@^~_=+\\{}[]/`")
 
 
+def grouped_spans(part: tv.Slice, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """tv.grouped() by the spans' bytes: spans with equal hashes are compared, and numbered anew should any differ."""
+    order, new = tv.grouped(h, text)
+    again = np.flatnonzero(~new)
+    here, before = order[again], order[again - 1]
+    stream = part.stream()
+    if not tv.same(stream, starts[here], ends[here], stream, starts[before], ends[before]).all():
+        raw, names = stream.tobytes(), {}
+        number = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+        order, new = tv.grouped(number, text)
+    return order, new
+
+
+def word_names(part: tv.Slice, w: tv.Words) -> np.ndarray:
+    """A number for each word of a slice, equal only for equal bytes."""
+    h = tv.hashes(part, w.starts, w.ends)
+    order = np.argsort(h, kind="stable")
+    again = np.flatnonzero(h[order][1:] == h[order][:-1])
+    here, before = order[again + 1], order[again]
+    stream = part.stream()
+    if not tv.same(stream, w.starts[here], w.ends[here], stream, w.starts[before], w.ends[before]).all():
+        raw, names = stream.tobytes(), {}
+        h = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)], np.uint64)
+    return h
+
+
 def statistics(part: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
     """(COUNTS, FEATURES) of each text of a slice."""
     n, data = len(part), part.data
@@ -63,16 +89,21 @@ def statistics(part: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
     has = np.concatenate([[0], np.cumsum(solid)])
     worded = has[lines.ends] > has[lines.starts]
     starts, ends, text = lines.starts[worded], lines.ends[worded], lines.text[worded]
-    order, new = tv.grouped(tv.hashes(part, starts, ends), text)
+    order, new = grouped_spans(part, starts, ends, text, tv.hashes(part, starts, ends))
     n_lines = np.bincount(text, minlength=n)
     dup_lines = np.bincount(text[order][~new], minlength=n)
     # words in three-word windows that occur twice or more in the text
-    h = tv.hashes(part, w.starts, w.ends)
+    h = word_names(part, w)
     repeat = np.zeros(len(h), bool)
     if len(h) > 2:
         win = np.flatnonzero(w.text[2:] == w.text[:-2])
         key = tv.mix(h[win] * np.uint64(3) + tv.mix(h[win + 1] * np.uint64(5) + tv.mix(h[win + 2])))
         o, first = tv.grouped(key, w.text[win])
+        differ = (h[win][o][1:] != h[win][o][:-1]) | (h[win + 1][o][1:] != h[win + 1][o][:-1]) | (h[win + 2][o][1:] != h[win + 2][o][:-1])
+        if (differ & ~first[1:]).any():  # different windows with one key
+            o = np.lexsort((h[win + 2], h[win + 1], h[win], w.text[win]))
+            first = np.ones(len(o), bool)
+            first[1:] = (np.diff(w.text[win][o]) != 0) | (h[win][o][1:] != h[win][o][:-1]) | (h[win + 1][o][1:] != h[win + 1][o][:-1]) | (h[win + 2][o][1:] != h[win + 2][o][:-1])
         many = np.zeros(len(win), bool)
         many[o] = ~first | ~np.append(first[1:], True)
         at = win[many]
@@ -99,20 +130,21 @@ def statistics(part: tv.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> gbt.Trees:
     """Trees learned from labels.quality of rows outside fold 0 of 5."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(fold("doc_id", 5) != 0).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("y")).dropDuplicates(["__id"])
+    known = one_label(labels, "quality", 5, 0, 0)
     n = known.count()
     if n > sample:
-        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    texts = small_batches(docs).select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("__id", "text", "y"), "quality-sample")  # about `sample` rows of two numbers are broadcast
+        known = known.where(hashed_below("__id", sample, n))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("text"))
+    one = F.broadcast(known)  # about `sample` rows of two numbers
+    rows = stored(texts.join(one, F.col("__doc") == F.col("__id")).select("__id", F.xxhash64("text").alias("h"), "text", "y"), "quality-sample")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [statistics(part)[1] for part in tv.slices(b.column(1))]
+            x = [statistics(part)[1] for part in tv.slices(b.column(2))]
             x = np.concatenate(x) if x else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "h", "y", "x"])
 
-    got = rows.mapInArrow(describe, "id long, y int, x array<double>").toPandas().sort_values("id")
+    got = rows.mapInArrow(describe, "id long, h long, y int, x array<double>").toPandas().sort_values(["id", "h"])
     x, y = np.array(got["x"].tolist()).reshape(-1, len(FEATURES)), got["y"].to_numpy(float)
     if not len(y):
         x, y = np.zeros((1, len(FEATURES))), np.ones(1)
@@ -130,4 +162,4 @@ def judge(docs: DataFrame, trees: gbt.Trees, threshold: float = 0.5) -> DataFram
             failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))], names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
 
-    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean")

@@ -3,13 +3,15 @@
 Every kernel takes whole texts and works on the concatenated bytes of many
 documents at once, so no Python code runs per word.  Words are maximal runs of
 bytes other than 0x20 and 0x09-0x0D; a word never crosses a document border.
-Word identity is a 64-bit polynomial hash over a random byte table, finished by
-an avalanche mix; collisions are improbable below some 10^9 different words.
+Spans are named by a 64-bit hash over blocks of eight bytes: spans of one length up
+to eight bytes never collide, others do with a chance of 2^-64 a pair.  Where a result
+must not rest on that, same() compares the bytes themselves.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 
 
-
 def _lean() -> None:
     """Freed memory goes back to the system at once: workers share their machine with an executor's heap."""
     try:
@@ -31,35 +32,19 @@ def _lean() -> None:
 
 
 _lean()
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Spans beyond so many bytes are hashed one by one.
+_LONG = 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_TABLE_LOWER = _TABLE[_LOWER]
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Texts are handled in slices of about so many bytes; a longer text is a slice of its own.
 SLICE_BYTES = 400_000
 
 
-def _geometric(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    while len(out) < n:
-        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-    return out
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        _powers[:] = [_geometric(_BASE, n), _geometric(_INVERSE, n)]
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Avalanche of 64-bit values."""
     h = h ^ (h >> np.uint64(33))
@@ -80,6 +65,13 @@ class Slice:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def stream(self, lower: bool = False) -> np.ndarray:
+        """The bytes (lower: with A-Z as a-z) and eight zeros behind them."""
+        name = "_low" if lower else "_raw"
+        if name not in self.__dict__:
+            self.__dict__[name] = np.concatenate([_LOWER[self.data] if lower else self.data, np.zeros(8, np.uint8)])
+        return self.__dict__[name]
+
     def text_of(self, starts: np.ndarray) -> np.ndarray:
         """The index of the text that holds each byte position; positions ascend."""
         return np.repeat(np.arange(len(self)), np.diff(np.searchsorted(starts, self.offsets)))
@@ -143,13 +135,56 @@ def words(part: Slice) -> Words:
     return spans(part, ~SEPARATOR[part.data])
 
 
+def _wide(stream: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place of a stream that ends with eight zeros, as one number."""
+    return np.ndarray(len(stream) - 7, "<u8", stream, strides=(1,))
+
+
 def hashes(part: Slice, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each byte span; equal bytes have equal hashes in any slice. lower: A-Z count as a-z."""
-    n = len(part.data)
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_TABLE_LOWER if lower else _TABLE)[part.data] * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    stream = part.stream(lower)
+    wide = _wide(stream)
+    size = ends - starts
+    h = size.astype(np.uint64) * _C1 + np.uint64(0x2545F4914F6CDD1D)
+    live, at, left = None, starts, size
+    while len(at):
+        x = wide[at] & _KEEP[np.minimum(left, 8)]
+        g = ((h if live is None else h[live]) ^ x) * _C2
+        g = (g ^ (g >> np.uint64(29))) * _C3
+        g ^= g >> np.uint64(32)
+        if live is None:
+            h = g
+        else:
+            h[live] = g
+        more = np.flatnonzero(left > 8)
+        if live is None:
+            big = left[more] > _LONG
+            for k in more[big].tolist():
+                h[k] = np.uint64(int.from_bytes(hashlib.blake2b(stream[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little"))
+            more = more[~big]
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    return mix(h)
+
+
+def same(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether span k of stream a has the bytes of span k of stream b; both streams end with eight zeros."""
+    wide_a, wide_b = _wide(a), _wide(b)
+    left = a_ends - a_starts
+    out = left == b_ends - b_starts
+    live = np.flatnonzero(out & (left > 0))
+    at = 0
+    while len(live):
+        keep = _KEEP[np.minimum(left[live] - at, 8)]
+        ok = (wide_a[a_starts[live] + at] ^ wide_b[b_starts[live] + at]) & keep == 0
+        out[live[~ok]] = False
+        at += 8
+        live = live[ok & (left[live] > at)]
+        if at >= _LONG:
+            for k in live.tolist():
+                out[k] = np.array_equal(a[a_starts[k] + at : a_ends[k]], b[b_starts[k] + at : b_ends[k]])
+            break
+    return out
 
 
 def hash_of(word: str, lower: bool = False) -> int:

@@ -11,7 +11,7 @@ chosen by a hash of the id; every document is scored.
 Nulls: a null text is an empty one and gets the model's score for no words; a
 null id is in fold 0, so it is held out and never learned from; null labels are
 not learned from.  Without labels of both classes every score is the share of toxic
-training rows (0 without any).  Repeated rows get equal scores.  Empty tables
+training rows (0 without any).  An id with different labels counts as toxic.  Repeated rows get equal scores.  Empty tables
 give empty results.  Extra columns are kept by keep_clean() and ignored by score().
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import gbt
 from . import textvec as tv
-from .common import fold, small_batches, stored
+from .common import hashed_below, one_label, small_batches, stored
 
 #: Labelled rows that a model is fitted on, at most about so many.
 SAMPLE = 16_000
@@ -157,14 +157,14 @@ class Model:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """(text, y) of about `sample` labelled training rows at most; the same rows whenever the labels are the same."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).where(fold("doc_id", 5) != 0).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).dropDuplicates(["__id"])
+    """(__id, h, text, y) of about `sample` labelled training rows at most; the same rows whenever the labels are the same."""
+    known = one_label(labels, label, 5, 0, 1)
     n = known.count()
     if n > sample:
-        known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    texts = small_batches(docs).select(F.col("doc_id").alias("__doc"), F.col("text").cast("string").alias("text"))
+        known = known.where(hashed_below("__id", sample, n))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("text"))
     one = F.broadcast(known)  # about `sample` rows of two numbers
-    return texts.join(one, F.col("__doc") == F.col("__id")).select("__id", "text", "y")
+    return texts.join(one, F.col("__doc") == F.col("__id")).select("__id", F.xxhash64("text").alias("h"), "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> Model:
@@ -197,11 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = T
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(part, known) for part in tv.slices(b.column(1))]
+            x = [features(part, known) for part in tv.slices(b.column(2))]
             x = np.concatenate(x) if x else np.zeros((0, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "h", "y", "x"])
 
-    got = rows.select("__id", "text", "y").mapInArrow(describe, "id long, y int, x array<double>").toPandas().sort_values("id")
+    got = rows.select("__id", "h", "text", "y").mapInArrow(describe, "id long, h long, y int, x array<double>").toPandas().sort_values(["id", "h"])
     x = np.array(got["x"].tolist()).reshape(-1, len(NAMES))
     return Model(known, gbt.fit_calibrated(x, got["y"].to_numpy(float)))
 
@@ -214,7 +214,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = [model.score(part) for part in tv.slices(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(s) if s else np.zeros(0))], names=["doc_id", "score"])
 
-    return small_batches(docs).select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -150,6 +151,66 @@ def test_quality_counts(which, request, labels):
     assert not got.where("kept and base_failed").count()
 
 
+def binary_words(n):
+    """Two words of n letters that hashes with a multiplier modulo 2^64 don't tell apart."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_hash(monkeypatch):
+    """Counts, ids and repeats are right whatever the hash does."""
+    from strandwork.llm import textvec as tv
+
+    a, b = binary_words(1024)
+    texts = [f"{a}\n{b}", f"{b} {a}", "it's one two THREE <|endoftext|> 12 Éa", "one two one two one two", "one two\ntwo one\none two", "", None, "x y z w x y z"]
+    part = next(tv.slices(pa.array(texts)))
+    coder = packing.FastIds(packing.tokenizer_path("word_bpe_49k.json"))
+    want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    real = tv.hashes
+    for mask in (2**64 - 1, 7, 0):
+        monkeypatch.setattr(tv, "hashes", lambda *args, m=mask, **more: real(*args, **more) & np.uint64(m))
+        assert [tuple(x) for x in quality.statistics(part)[0]] == [brute_statistics(t or "") for t in texts]
+        coder.clear()
+        ids, n = coder.encode(part)
+        assert ids.tolist() == sum(want, []) and n.tolist() == list(map(len, want))
+
+
+def test_isotonic_merges_ties():
+    from strandwork.llm import gbt
+
+    for y in ([0, 1, 0, 1], [1, 1, 0, 0]):
+        at, value = gbt.isotonic(np.ones(4), np.array(y, float))
+        assert at.tolist() == [1.0] and value.tolist() == [0.5]
+    at, value = gbt.isotonic(np.array([4.0, 1, 2, 3, 5]), np.array([0.0, 0, 1, 0, 1]))
+    assert at.tolist() == [1, 2, 4, 5] and value == pytest.approx([0, 1 / 3, 1 / 3, 1])
+
+
+def test_samples_of_huge_tables(spark):
+    """The share that a threshold lets through follows part / whole, however large the whole is."""
+    from strandwork.llm.common import hashed_below, threshold
+
+    ids = spark.range(100_000)
+    assert ids.where(hashed_below("id", 3_000, 100_000)).count() == pytest.approx(3_000, rel=0.1)
+    assert threshold(3_000, 10**10) / 2**63 == pytest.approx(3e-7) and threshold(5, 5) == 2**63 - 1
+
+
+def test_conflicting_labels(spark):
+    from strandwork.llm.common import one_label
+
+    rows = [(k, k % 2, k % 3 == 0) for k in range(200)] + [(k, 1 - k % 2, False) for k in range(50)] + [(None, 1, True), (7, None, None), (8, 5, True)]
+    labels = spark.createDataFrame([(a, b, int(c) if c is not None else None) for a, b, c in rows], "doc_id int, toxic int, quality int")
+    for label, worst in (("toxic", 1), ("quality", 0)):
+        got = {r["__id"]: r["y"] for r in one_label(labels, label, 5, 0, worst).collect()}
+        want = {}
+        for a, b, c in rows:
+            y = b if label == "toxic" else (int(c) if c is not None else None)
+            if a is not None and y in (0, 1) and crc(a, 5) != 0:
+                want[a] = (max if worst else min)(want.get(a, y), y)
+        assert got == want
+
+
 def test_quality_verdict_and_monotone(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -262,11 +323,68 @@ def test_components_of_long_chains(spark):
     assert got == {i: 0 for i in range(1, 61)} | {k: 100 for k in range(101, 140)}
 
 
+def brute_lm(texts, train, held):
+    """(weights, log10 probability of each text): counts by Counter, weights by expectation-maximisation token by token."""
+    def counted(rows):
+        c = Counter()
+        for t in rows:
+            for k, w in enumerate(t):
+                v, u = (t[k - 1] if k else None), (t[k - 2] if k > 1 else None)
+                c[w,] += 1
+                c[v, w] += 1
+                if k:
+                    c[u, v, w] += 1
+        c["n"], c["v"], c["texts"] = sum(map(len, rows)), len({w for t in rows for w in t}), len(rows)
+        return c
+
+    def estimates(t, k, c, v):
+        """(context count, estimate) by order of the k-th token."""
+        w, a = t[k], (t[k - 1] if k else None)
+        first, second = c[w,], c[a, w]
+        n_a = c["texts"] if k == 0 else c[a,]
+        if k == 0:
+            n_b, third = c["texts"], second
+        else:
+            n_b, third = c[(t[k - 2] if k > 1 else None), a], c[(t[k - 2] if k > 1 else None), a, w]
+        return [(1, first / max(c["n"], 1)), (n_a, second / max(n_a, 1)), (n_b, third / max(n_b, 1))]
+
+    toks = [[*WORD.findall(lower(t or "")), None] for t in texts]
+    every = counted([t for t, a in zip(toks, train, strict=True) if a])
+    rest = counted([t for t, a, h in zip(toks, train, held, strict=True) if a and not h])
+    bucket = lambda n: n.bit_length() if n else 0
+    weights: list[dict[int, float]] = []
+    places = [(t, k) for t, a, h in zip(toks, train, held, strict=True) if a and h for k in range(len(t))]
+
+    def mixed(t, k, c, order):
+        p = 1 / (every["v"] + 1)
+        for (n, x), w in zip(estimates(t, k, c, every["v"])[:order], weights, strict=False):
+            a = w.get(bucket(n), 0.0) if n else 0.0
+            p = a * x + (1 - a) * p
+        return p
+
+    for order in range(3):
+        by = defaultdict(list)
+        for t, k in places:
+            n, x = estimates(t, k, rest, every["v"])[order]
+            if n:
+                by[bucket(n)].append(x / mixed(t, k, rest, order))
+        learned = {}
+        for b, r in by.items():
+            a = 0.5
+            for _ in range(200):
+                a = sum(a * x / (a * x + 1 - a) for x in r) / len(r)
+                a = min(max(a, 1e-4), 1 - 1e-4)
+            learned[b] = a
+        weights.append({b: learned[min(learned, key=lambda k: (abs(k - b), k))] if learned else 0.5 for b in range(1, 48)})
+    return weights, [sum(math.log10(mixed(t, k, every, 3)) for k in range(len(t))) for t in toks]
+
+
 @pytest.mark.parametrize("which", ["messy", "docs"])
 def test_ngram_lm(which, request):
     df = request.getfixturevalue(which)
     held = fold("doc_id", 5) == 1
-    got = ngram_lm.score(df, ~held, fold("doc_id", 4) == 0, chunk_bytes=20_000, bucket_bytes=100_000)
+    found = []
+    got = ngram_lm.score(df, ~held, fold("doc_id", 4) == 0, chunk_bytes=20_000, bucket_bytes=100_000, found=found)
     rows = df.collect()
     toks = [[*WORD.findall(lower(r["text"] or "")), None] for r in rows]
     c = Counter(w for r, t in zip(rows, toks, strict=True) if crc(r["doc_id"], 5) != 1 for w in t)
@@ -275,8 +393,11 @@ def test_ngram_lm(which, request):
     assert rows_of(got, "doc_id", "n_tokens", "n_known", "train_tokens") == want
     base = sorted(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t) for t in toks)
     assert sorted(r["base_score"] for r in got.collect()) == pytest.approx(base)
-    whole = got.agg(F.sum("score"), F.sum("base_score")).first()
-    assert whole[0] > whole[1]
+    weights, scores = brute_lm([r["text"] for r in rows], [crc(r["doc_id"], 5) != 1 for r in rows], [crc(r["doc_id"], 4) == 0 for r in rows])
+    assert found[0].one == pytest.approx(weights[0][1], abs=0.02)
+    for mine, brute in ((found[0].two, weights[1]), (found[0].three, weights[2])):
+        assert list(mine[1:]) == pytest.approx([brute[b] for b in range(1, 48)], abs=0.02)
+    assert sorted(r["score"] for r in got.collect()) == pytest.approx(sorted(scores), rel=0.01, abs=0.05)
 
 
 def test_ngram_lm_is_a_distribution(spark):
@@ -297,7 +418,7 @@ def test_ngram_lm_empty(empty):
 
 def test_ngram_lm_beats_base_on_held_out(docs):
     held = fold("doc_id", 5) == 1
-    got = ngram_lm.score(docs, ~held, fold("doc_id", 20) == 0).where(held).agg(F.sum("score"), F.sum("base_score")).first()
+    got = ngram_lm.score(docs, ~held, F.pmod(F.xxhash64("text"), F.lit(20)) == 0).where(held).agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
 
 
