@@ -10,7 +10,8 @@ with the halves swapped) are traversed with budget k // 2 in the upper half and
 in all, which keeps the pairs alive few.
 
 Distribution: the top levels of both tries are cut into subtries; each pair of
-subtries within the budget is one group.  Exact copies are one leaf, and a group
+subtries within the budget is one group.  Pairs that hold too many fingerprints
+are cut further, six levels at a time, until none does.  Exact copies are one leaf, and a group
 returns a spanning forest of its links, so output is linear in fingerprints
 whatever the size of a class.  Classes come from min-label propagation with
 star contraction over stored tables; nothing but counts reaches the driver.
@@ -22,7 +23,7 @@ repeated result rows.  Empty tables give empty results.  Extra columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, comb, log2
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import small_batches, stored
+from .common import small, small_batches, stored
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 _U = np.uint64
@@ -172,7 +173,7 @@ def trie_links(values: np.ndarray, left: np.ndarray, right: np.ndarray | None, d
     same = right is None
     start = (np.array([left[0]]), np.array([left[1]]), np.array([left[0] if same else right[0]]), np.array([left[1] if same else right[1]]))
     errs = np.zeros(1, np.int64) if same else np.bitwise_count((values[start[0]] ^ values[start[2]]) >> _U(64 - depth)).astype(np.int64) if depth else np.zeros(1, np.int64)
-    if depth and depth <= 32 and errs[0] > half:
+    if not same and depth and (errs[0] > max_bits or np.bitwise_count((values[start[0]] ^ values[start[2]]) >> _U(64 - min(depth, 32)))[0] > half):
         return np.zeros((0, 2), np.int64)
     stack = [(depth, *start, errs)]
     ones = {}
@@ -227,13 +228,26 @@ def _swapped(fp: np.ndarray) -> np.ndarray:
     return (fp << _U(32)) | (fp >> _U(32))
 
 
-def links(fps: DataFrame, max_bits: int = 4, subtrie_rows: int = 8192, count: int | None = None) -> DataFrame:
-    """(a, b): links between distinct fingerprints that span every class; fps has one distinct column fp."""
+def links(fps: DataFrame, max_bits: int = 4, subtrie_rows: int = 8192, count: int | None = None, most: int = 65_536) -> DataFrame:
+    """(a, b): links between distinct fingerprints that span every class; fps has one distinct column fp.
+
+    A pair of subtries with more than `most` fingerprints is cut into pairs of deeper ones.
+    """
     n = fps.count() if count is None else count
     depth = min(20, max(4, ceil(log2(max(n, 1) / subtrie_rows)))) if n else 4
     half = max_bits // 2
-    masks = np.array([m for m in range(1 << depth) if bin(m).count("1") <= half], np.int64)
+    masks = np.array([m for m in range(1 << depth) if bin(m).count("1") <= half], np.uint64)
     assert len(masks) == sum(comb(depth, k) for k in range(half + 1))
+    schema = "turn int, lo long, hi long, upper boolean, fp long"
+
+    names = ["turn", "lo", "hi", "upper", "fp"]
+
+    def paired(own: np.ndarray, turn: int, fp: np.ndarray) -> pa.RecordBatch:
+        """Each fingerprint with each pair of subtries that it belongs to; upper: it lies in the second of two."""
+        other = own[:, None] ^ masks
+        lo, hi = np.minimum(own[:, None], other), np.maximum(own[:, None], other)
+        cols = [np.full(lo.size, turn, np.int32), lo.ravel().view(np.int64), hi.ravel().view(np.int64), (own[:, None] > other).ravel(), np.repeat(fp, len(masks)).view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,28 +255,66 @@ def links(fps: DataFrame, max_bits: int = 4, subtrie_rows: int = 8192, count: in
             for at in range(0, len(fp), 20_000):
                 part = fp[at : at + 20_000]
                 for turn in (0, 1):
-                    top = ((_swapped(part) if turn else part) >> _U(64 - depth)).astype(np.int64)
-                    other = top[:, None] ^ masks
-                    lo, hi = np.minimum(top[:, None], other), np.maximum(top[:, None], other)
-                    key = (((lo << depth) | hi) << 1) | turn
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(part, len(masks)).view(np.int64))], names=["pair", "fp"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        key = group.column("pair")[0].as_py()
-        turn, hi, lo = key & 1, (key >> 1) & ((1 << depth) - 1), key >> (1 + depth)
-        v = group.column("fp").to_numpy().view(np.uint64)
-        v = np.sort(_swapped(v) if turn else v)
-        cut = int(np.searchsorted(v, _U(hi << (64 - depth)))) if hi != lo else 0
-        if hi == lo:
-            pairs = trie_links(v, (0, len(v)), None, depth, max_bits)
-        elif 0 < cut < len(v):
-            pairs = trie_links(v, (0, cut), (cut, len(v)), depth, max_bits)
-        else:
-            pairs = np.zeros((0, 2), np.int64)
-        ends = [_swapped(v[pairs[:, k]]) if turn else v[pairs[:, k]] for k in (0, 1)]
-        return pa.table({"a": ends[0].view(np.int64), "b": ends[1].view(np.int64)})
-
-    return fps.select("fp").mapInArrow(deal, "pair long, fp long").groupBy("pair").applyInArrow(meet, "a long, b long")
+                    yield paired((_swapped(part) if turn else part) >> _U(64 - depth), turn, part)
+
+    def deeper(depth: int, more: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                turn, lo, hi, _, fp = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+                lo, hi, fp = lo.view(np.uint64), hi.view(np.uint64), fp.view(np.uint64)
+                key = np.where(turn == 1, _swapped(fp), fp)
+                own = key >> _U(64 - depth - more)
+                across = np.bitwise_count(lo ^ hi)
+                for err in np.unique(across).tolist():
+                    # of the budget for the upper half and in all, what the levels so far have left
+                    mine = np.flatnonzero(across == err)
+                    top = (lo ^ hi)[mine] << _U(more)
+                    extra = [m for m in range(1 << more) if bin(m).count("1") + err <= max_bits]
+                    for m in extra:
+                        other = own[mine] ^ top ^ _U(m)
+                        ok = np.bitwise_count((own[mine] ^ other) >> _U(max(0, depth + more - 32))) <= half
+                        if err == 0:  # a subtrie with itself: either child may be the lower one
+                            a, z = np.minimum(own[mine], other), np.maximum(own[mine], other)
+                        else:
+                            upper = own[mine] >> _U(more) == hi[mine]
+                            a, z = np.where(upper, other, own[mine]), np.where(upper, own[mine], other)
+                        cols = [turn[mine][ok], a[ok].view(np.int64), z[ok].view(np.int64), (own[mine] > a)[ok], fp[mine][ok].view(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+
+        return run
+
+    def meet(depth: int) -> Callable[[pa.Table], pa.Table]:
+        def run(group: pa.Table) -> pa.Table:
+            turn, lo, hi = (group.column(c)[0].as_py() % 2**64 for c in ("turn", "lo", "hi"))
+            v = group.column("fp").to_numpy().view(np.uint64)
+            v = np.sort(_swapped(v) if turn else v)
+            cut = int(np.searchsorted(v, _U(hi << (64 - depth)))) if hi != lo else 0
+            if hi == lo:
+                pairs = trie_links(v, (0, len(v)), None, depth, max_bits)
+            elif 0 < cut < len(v):
+                pairs = trie_links(v, (0, cut), (cut, len(v)), depth, max_bits)
+            else:
+                pairs = np.zeros((0, 2), np.int64)
+            ends = [_swapped(v[pairs[:, k]]) if turn else v[pairs[:, k]] for k in (0, 1)]
+            return pa.table({"a": ends[0].view(np.int64), "b": ends[1].view(np.int64)})
+
+        return run
+
+    key = ["turn", "lo", "hi"]
+    rows, out = fps.select("fp").mapInArrow(deal, schema), None
+    while True:
+        counts = rows.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("upper").alias("uppers"))
+        one_sided = (F.col("lo") != F.col("hi")) & ((F.col("uppers") == 0) | (F.col("uppers") == F.col("n")))
+        full = stored(counts.where(F.col("n") > most).select(*key, one_sided.alias("one_sided")), "full-subtries")
+        some = depth < 64 and not full.isEmpty()
+        light = rows.join(small(full), key, "left_anti") if some else rows
+        found = light.groupBy(*key).applyInArrow(meet(depth), "a long, b long")
+        out = found if out is None else out.unionByName(found)
+        if not some:
+            return out
+        more = min(6, 64 - depth)
+        rows = stored(rows.join(small(full.where("not one_sided")), key, "left_semi").mapInArrow(deeper(depth, more), schema), "deeper-subtries")
+        depth += more
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
