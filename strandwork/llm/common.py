@@ -100,6 +100,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def slices(df: DataFrame, key: str, rows: int, per_slice: int = 4096) -> tuple[DataFrame, list[str]]:
+    """df with columns slice_2, slice_4, ... of ever longer beginnings of a hexadecimal key, and their names.
+
+    The last holds about per_slice rows at most for an even key; a slice has 256 at the next level, whatever the number of rows.
+    """
+    names = []
+    digits = 2
+    while True:
+        names.append(f"slice_{digits}")
+        df = df.withColumn(names[-1], F.substring(key, 1, digits))
+        if rows >> (4 * digits) <= per_slice:
+            return df, names
+        digits += 2
+
+
 def prefix_sums(df: DataFrame, levels: Sequence[Sequence[str]], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Adds out: the sum of value over all rows of the first level's group that come before the row.
 

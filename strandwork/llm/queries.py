@@ -13,7 +13,7 @@ from .common import fold, table
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.plan(docs, mixing.word_count(F.col("text")), F.col("source"), F.col("doc_id"))
+    return mixing.plan(docs, mixing.word_count(F.col("text")), F.col("source"), F.col("doc_id"), otherwise=F.col("text"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,9 +115,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger
         fresh = fresh.join(seen, "blob", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[str] = set()  # of this task's partition: rows repeated with id and text lie in one, and are scanned once
         for b in batches:
             out: list[tuple] = []
             for blob, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if blob in done:
+                    continue
+                done.add(blob)
                 spans = find(t.as_py())
                 if spans:
                     base = [s for s in spans if s[2] in ("assign", "access", "hex")]

@@ -5,7 +5,9 @@ payload digest; of equal payloads of at least `least` bytes the one with the
 largest id is the response and the others become revisit records that refer to it.
 Archives are written with fresh headers by Spark's text writer, each record ended
 by the writer's line separator, so they land in whatever store the path names;
-payloads of revisits are left out.  read() parses archives by content length.
+payloads of revisits are left out.  Files hold about FILE_BYTES each.  read() takes one record
+at a time from a file's gzip stream, by its content length.  The full payload's length stands
+in a header of our own, X-Payload-Length; a record's id is made from its page's id.
 
 Only headers meet in a digest's group, pre-aggregated to one row per digest; the
 payload goes through one shuffle by page.
@@ -20,7 +22,11 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from math import ceil
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +36,8 @@ from .common import new_path, stored
 
 #: Payloads below so many bytes are always written whole.
 LEAST = 1000
-#: Records in one archive file at most.
-RECORDS = 2_000
+#: Payload bytes in one archive file, about: pages are dealt to so many files that these hold as much on average; and records at most.
+FILE_BYTES, RECORDS = 16_000_000, 2_000
 _END = "\r\n\r\n"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, body binary"
 
@@ -46,12 +52,17 @@ def resolve(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return both.select("page_id", "digest", "bytes", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least: int = LEAST) -> None:
-    """Archives of all pages below path."""
-    plan = stored(resolve(pages, least), "warc-plan").withColumnsRenamed({"page_id": "__id", "digest": "__digest"})
+def write(pages: DataFrame, path: str, date: str | None = None, least: int = LEAST, file_bytes: int = FILE_BYTES) -> None:
+    """Archives of all pages below path; date: that of the records, now if none is given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    plan = stored(resolve(pages, least), "warc-plan")
+    every = pages.agg(F.coalesce(F.sum(F.octet_length(F.col("html").cast("string"))), F.lit(0))).first()[0]
+    files = max(1, ceil(every / file_bytes))
+    key = {"__id": F.coalesce("page_id", F.lit(0)), "__none": F.col("page_id").isNull(), "__digest": F.col("digest")}
+    plan = plan.withColumns(key).drop("page_id", "digest")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    rows = rows.join(plan.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")))
+    rows = rows.withColumns(key).repartition(files, *key).join(plan.hint("shuffle_hash"), list(key))  # the join keeps these partitions, one file each
     body = F.when(F.col("record_type") == "response", F.col("html")).otherwise(F.lit(""))
     uri = F.coalesce(F.regexp_replace(F.col("url"), r"[\r\n]", "%0A"), F.lit(""))
     record_id = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -65,7 +76,7 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(F.col("record_type") == "revisit", line("WARC-Refers-To", record_id(F.col("refers_to")))).otherwise(F.lit("")),
         F.when(F.col("record_type") == "revisit", line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
-        line("WARC-Payload-Length", F.col("bytes").cast("string")),
+        line("X-Payload-Length", F.col("bytes").cast("string")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.octet_length(body).cast("string")),
         F.lit("\r\n"),
@@ -73,21 +84,21 @@ def write(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", least
     rows.select(F.concat(head, body).alias("value")).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
-def records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, body) of each record of an uncompressed archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        start = end + 4
-        stop = start + int(head["Content-Length"])
-        if raw[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} does not end where its length says")
-        yield head, raw[start:stop]
-        at = stop + 4
+def records(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, body) of each record of an uncompressed archive, one at a time."""
+    while first := archive.readline():
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where {first[:40]!r} stands")
+        head = {}
+        while (line := archive.readline()) != b"\r\n":
+            if not line:
+                raise ValueError("an archive ends within a header")
+            name, value = line.decode().rstrip("\r\n").split(": ", 1)
+            head[name] = value
+        body = archive.read(int(head["Content-Length"]))
+        if archive.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {head.get('WARC-Record-ID')} does not end where its length says")
+        yield head, body
 
 
 def _page(record_id: str | None) -> int | None:
@@ -104,12 +115,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for content in b.column(0):
                 rows: list[tuple] = []
                 size = 0
-                for head, body in records(gzip.decompress(content.as_py())):
+                for head, body in records(io.BufferedReader(gzip.GzipFile(fileobj=pa.BufferReader(content.as_buffer())), 1 << 20)):
                     whole = head["WARC-Type"] == "response"
                     said = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if whole and hashlib.sha1(body).hexdigest() != said:
                         raise ValueError(f"payload of {head['WARC-Record-ID']} does not match its digest")
-                    rows.append((_page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], _page(head.get("WARC-Refers-To")), said, len(body) if whole else int(head["WARC-Payload-Length"]), body))
+                    rows.append((_page(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], _page(head.get("WARC-Refers-To")), said, len(body) if whole else int(head["X-Payload-Length"]), body))
                     size += len(body)
                     if size > 8_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
