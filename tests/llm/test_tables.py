@@ -90,30 +90,90 @@ def test_top_k_empty(spark):
     assert topk.top_k(spark.createDataFrame([(100, [1.0])], "vec_id long, embedding array<float>")).count() == 0
 
 
+def brute_redacted(t):
+    """The text with the union of all found spans cut out."""
+    from strandwork.llm import secret_ledger
+
+    if t is None:
+        return None
+    inside = [False] * len(t)
+    begins = set()
+    for a, b, _ in secret_ledger.find(t):
+        if not inside[a]:
+            begins.add(a)
+        inside[a:b] = [True] * (b - a)
+    return "".join(("[REDACTED]" if k in begins else "") + ("" if hidden else c) for k, (c, hidden) in enumerate(zip(t, inside, strict=True)))
+
+
+def brute_copies(rows):
+    """Copies of each row as DuckDB mixes them."""
+    import duckdb
+    import pandas as pd
+
+    from strandwork.llm import mixing
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(r["doc_id"], r["text"], r["source"]) for r in rows], columns=["doc_id", "text", "source"]))
+    return sorted(i for i, n in con.execute(f"SELECT doc_id, copies FROM ({mixing.SQL})").fetchall() for _ in range(n))
+
+
+def gapless(rows, size=2048):
+    """The number of sequences; each is filled from 0 without gaps or overlaps."""
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= size
+    return len(by)
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     """Each stage by brute force on what its predecessor kept."""
     import corpus_pipeline
 
-    from .test_text_operators import brute_classes, brute_pieces, brute_spans
+    from strandwork.llm import toxicity
+
+    from .test_neardup import expected
+    from .test_text_operators import brute_pieces
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
-    kept = {}
+    scores = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    want = sorted(r["doc_id"] for r in scores.where("score < 0.5").collect())
+    kept = {"": docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, sf).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         kept[name] = docs.collect()
         if name != "packing":
             assert docs.columns == columns
-    toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
-    assert {r["doc_id"] for r in kept["toxicity"]} | toxic >= {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").where(~F.col("doc_id").isin(list(toxic))).collect()} - {-1} or len(kept["toxicity"]) > 150
-    classes = {c for _, _, c in brute_classes(kept["toxicity"])}
-    assert sorted(r["doc_id"] for r in kept["simhash"]) == sorted(classes)
-    assert len(kept["secrets"]) == len(kept["simhash"])
-    assert all(brute_spans(r["text"])[:3] == (0, 0, 0) and r["n_chars"] == len(r["text"]) for r in kept["secrets"])
-    assert {r["doc_id"] for r in kept["mixing"]} <= {r["doc_id"] for r in kept["secrets"]}
+    assert sorted(r["doc_id"] for r in kept["toxicity"]) == want and len(want) > 150
+    whole = {r["doc_id"]: r for r in kept[""]}
+    assert all(r == whole[r["doc_id"]] for name in ("toxicity", "simhash") for r in kept[name])
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept["simhash"]) == expected(kept["toxicity"])
+    clean = {r["doc_id"]: brute_redacted(r["text"]) for r in kept["simhash"]}
+    assert sorted((r["doc_id"], r["text"], r["n_chars"], r["lang"], r["source"]) for r in kept["secrets"]) == sorted((r["doc_id"], clean[r["doc_id"]], len(clean[r["doc_id"]]), r["lang"], r["source"]) for r in kept["simhash"])
+    assert sorted(r["doc_id"] for r in kept["mixing"]) == brute_copies(kept["secrets"])
+    assert all(r["text"] == clean[r["doc_id"]] for r in kept["mixing"])
     got = sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in kept["packing"]), key=repr)
     assert got == brute_pieces(kept["mixing"])
+    assert gapless(kept["packing"]) <= 1.02 * math.ceil(sum(r["length"] for r in kept["packing"]) / 2048) + 1
+
+
+@pytest.mark.parametrize("which", ["messy", "empty"])
+def test_pipeline_on_odd_tables(spark, sf, tmp_path, which, request):
+    """Nulls, empty texts, ties, repeated rows and extra columns; and no rows at all."""
+    import corpus_pipeline
+
+    df = request.getfixturevalue(which).withColumn("n_chars", F.col("n_chars").cast("long"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert (gapless(out) > 0) == (which == "messy")
 
 
 def test_pipeline_run_leaves_only_its_result(spark, sf):
