@@ -73,6 +73,19 @@ def test_top_k(spark, group):
     assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute_top(plain)
 
 
+def test_top_k_skips_blocks(spark):
+    """Vectors in tight clusters: most blocks of far clusters are never scored, and groups that can't win are never asked."""
+    r = random.Random(4)
+    heads = [[r.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    rows = [(k, [x + r.gauss(0, 0.02) for x in heads[k % 20]]) for k in range(8000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    report = []
+    got = topk.top_k(df, every=1000, group=1000, report=report)
+    assert rows_of(got, "query_id", "rank", "vec_id", "score") == brute_top(rows, every=1000)
+    pairs = report[0].first()
+    assert pairs["blocks"] >= 8 * 63 and pairs["scored"] < 0.5 * pairs["blocks"]
+
+
 def test_top_k_beyond_doubles(spark):
     rows = [(k * 50, [1e8 + k, -3e8 + k]) for k in range(6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
