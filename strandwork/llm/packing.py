@@ -1,15 +1,15 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
 Tokens come from a public tokenizer's file.  Only documents longer than a
-sequence are cut.  Packing is bulk-synchronous best-fit over sorted lists of
-documents and gaps: the lists are held run-length encoded by value, since values
-are at most the sequence length, so the state of a round is bounded whatever the
-corpus is.  Rounds go by falling length.  In one round all pieces of a length are
-swept against the gaps for their successor (the least gap that holds them);
-where several pieces want the same gap the one with the lower rank gets it; gaps
-are updated and the sweep repeats while any fits, and then new sequences are
-opened.  A piece's rank within its length comes from distributed prefix sums, and
-each row looks up its run to get its sequence and offset.
+sequence are cut.  Packing is bulk-synchronous best-fit.  Pieces are taken by
+falling classes of length (halves of a sequence, quarters, and so on).  In a round the pieces
+of a class and the gaps that could hold them are sorted by size into ranges, one a
+task; each task sweeps its range by falling length, a piece into its successor (the
+least gap that holds it, updated at once), and of pieces of one length the one of lower rank
+first.  As every gap is in one range, no two tasks want the same.  Gaps that hold any
+piece of the class are dealt over all ranges.  What found no gap is sorted anew
+with the gaps that are left, over new ranges, until a sweep places nothing; then each task opens
+sequences for what is left.  Every round's gaps and placed pieces are stored tables.
 
 Nulls: a null text is empty; a null id is packed like any other.  An empty text
 is one piece of its end token.  Repeated rows are separate documents.  Empty
@@ -21,6 +21,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import prefix_sums, small_batches, stored
+from .common import small_batches, stored
 
-#: The runs of a plan that may be sent to executors with the task; beyond it they are a table that is joined.
-RUNS_IN_TASK = 200_000
+#: Pieces and gaps in one range, about.
+RANGE_ROWS = 20_000
+#: Sweeps of one class at most before its pieces open sequences.
+SWEEPS = 4
 _SPACE, _LETTER, _DIGIT, _OTHER, _COMPLEX = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
@@ -225,74 +229,110 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Runs (length, first rank, first sequence, offset), and the number of sequences.
+def best_fit(lengths: np.ndarray, free: np.ndarray, used: np.ndarray, size: int, opens: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gap of each piece or -1, offset of each piece, free, used): pieces by falling length (by rank within one) into the least gap that holds them.
 
-    A run lasts until the next run of its length.  counts: pieces of each length.
+    opens: pieces without a gap open sequences of `size`, which become gaps behind the given ones.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
+    gap, offset = np.full(len(lengths), -1), np.zeros(len(lengths), np.int64)
+    held: dict[int, list[np.ndarray]] = {}
     present = np.zeros(size + 1, bool)
-    runs: list[tuple[int, int, int, int]] = []
-    opened = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            gaps.setdefault(gap, []).append((first, n))
-            present[gap] = True
-
-    for item in sorted(counts, reverse=True):
-        rank, left = 0, counts[item]
-        while left:
-            gap = item + int(present[item:].argmax()) if present[item:].any() else 0
-            if gap:
-                first, n = gaps[gap].pop()
-                used = min(n, left)
-                runs.append((item, rank, first, size - gap))
-                put(gap - item, first, used)
-                if used < n:
-                    gaps[gap].append((first + used, n - used))
-                if not gaps[gap]:
-                    present[gap] = False
-            else:
-                # open enough for the pieces that are left, each sequence filled with as many as it holds
-                each = size // item
-                used = min(left, max(1, -(-left // each)))
-                runs.append((item, rank, opened, 0))
-                put(size - item, opened, used)
-                opened += used
-            rank += used
-            left -= used
-    return runs, opened
-
-
-def pack(cut: DataFrame, length: int = 2048) -> DataFrame:
+    order = np.argsort(free, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(free[order])) + 1) if len(order) else []:
+        held[int(free[part[0]])] = [part]
+        present[free[part[0]]] = True
+    all_free, all_used = free.astype(np.int64), used.astype(np.int64)
+    by = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(by):
+        item = int(lengths[by[at]])
+        end = at + int(np.searchsorted(-lengths[by[at:]], -item, "right"))
+        while at < end:
+            found = present[item:].argmax() if present[item:].any() else -1
+            if found < 0:
+                if not opens:
+                    break
+                n = max(1, -(-(end - at) // (size // item)))  # enough for the pieces of this length that are left
+                new = len(all_free) + np.arange(n)
+                all_free, all_used = np.concatenate([all_free, np.full(n, size)]), np.concatenate([all_used, np.zeros(n, np.int64)])
+                held.setdefault(size, []).append(new)
+                present[size] = True
+                found = size - item
+            room = item + int(found)
+            part = held[room].pop()
+            take, rest = part[: end - at], part[end - at :]
+            if len(rest):
+                held[room].append(rest)
+            present[room] = bool(held[room])
+            mine = by[at : at + len(take)]
+            gap[mine], offset[mine] = take, all_used[take]
+            all_free[take] -= item
+            all_used[take] += item
+            if room > item:
+                held.setdefault(room - item, []).append(take)
+                present[room - item] = True
+            at += len(take)
+        at = end
+    return gap, offset, all_free, all_used
+
+
+_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+_STATE = "kind int, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+_PLACED, _GAP, _LEFT = range(3)
+
+
+def _swept(rows: DataFrame, number: int, size: int, least: int, most: int, opens: bool, range_rows: int) -> DataFrame:
+    """One round over pieces (kind _LEFT) and gaps (kind _GAP: length is free, offset is used) of a class of lengths, by ranges of size."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        got = list(batches)
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        kind, length, seq, used = (t.column(c).to_numpy() for c in ("kind", "length", "sequence_id", "offset"))
+        p, g = np.flatnonzero(kind == _LEFT), np.flatnonzero(kind == _GAP)
+        gap, offset, free, filled = best_fit(length[p], length[g], used[g], size, opens)
+        base = (number << 48) + (TaskContext.get().partitionId() << 28)
+        names = np.concatenate([seq[g], base + np.arange(len(free) - len(g))])
+        pieces = t.take(pa.array(p)).drop_columns(["kind", "sequence_id", "offset"])
+        placed = gap >= 0
+        columns = [pa.array(np.where(placed, _PLACED, _LEFT).astype(np.int32)), *(pieces.column(c).combine_chunks() for c in _PIECE[:5]), pa.array(np.where(placed, names[gap], -1) if len(names) else np.full(len(p), -1)), pa.array(offset)]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", *_PIECE])
+        n = len(free)
+        blank = [pa.nulls(n, x) for x in (pa.int64(), pa.int32(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, _GAP, np.int32)), *blank, pa.array(free), pa.nulls(n, pa.int64()), pa.array(names), pa.array(filled)], names=["kind", *_PIECE])
+
+    tie = F.xxhash64("doc_id", "piece", "start", "ids_crc32", "sequence_id")
+    anywhere = least + F.pmod(tie, F.lit(most - least + 1))
+    place = F.when((F.col("kind") == _GAP) & (F.col("length") >= most), anywhere).otherwise(F.col("length"))
+    dealt = rows.withColumn("place", place).withColumn("tie", tie)
+    ranges = max(1, ceil(rows.count() / range_rows))
+    return dealt.repartitionByRange(ranges, "place", "tie").sortWithinPartitions("kind", "doc_id", "piece", "ids_crc32").drop("place", "tie").mapInArrow(sweep, _STATE)
+
+
+def pack(cut: DataFrame, length: int = 2048, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds sequence_id and offset to pieces; cut is a stored table of pieces()."""
-    spark = cut.sparkSession
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `length` rows
-    runs, _ = best_fit(counts, length)
-    runs.sort()
-    total = sum(counts.values())
-    digits = 2
-    while total >> (4 * digits) > 65_536:
-        digits += 1
-    key = F.md5(F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("piece").cast("string")).cast("binary"))
-    ranked = cut.withColumn("key", key).withColumn("slice", F.substring("key", 1, digits)).withColumn("one", F.lit(1).cast("long"))
-    ranked = prefix_sums(ranked, [["length"], ["length", "slice"]], ["key", "ids_crc32"], "one", "rank")
-    if len(runs) <= RUNS_IN_TASK:
-        r = np.array(runs, np.int64).reshape(-1, 4)
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            where = (r[:, 0] << 48) | r[:, 1]
-            for b in batches:
-                rank = b.column(5).to_numpy()
-                at = np.searchsorted(where, (b.column(3).to_numpy() << 48) | rank, "right") - 1
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(r[at, 2] + rank - r[at, 1]), pa.array(r[at, 3])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-        return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    nexts = [b[1] if b[0] == a[0] else 1 << 62 for a, b in zip(runs, [*runs[1:], (0, 0, 0, 0)], strict=True)]
-    table = stored(spark.createDataFrame([(*a, b) for a, b in zip(runs, nexts, strict=True)], "length long, low long, seq long, offset long, high long"), "runs")
-    joined = ranked.join(table, "length").where("rank >= low and rank < high")
-    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
+    nothing = F.lit(0).cast("long")
+    todo = cut.select(F.lit(_LEFT).alias("kind"), "doc_id", "piece", "start", "length", "ids_crc32", nothing.alias("sequence_id"), nothing.alias("offset"))
+    placed, gaps, number, most = [], None, 0, length
+    while most:
+        least = most // 2 + 1 if most > length // 16 else 1
+        pieces, sweeps = todo.where(F.col("length").between(least, most)), 0
+        opens = gaps is None
+        while pieces is not None:
+            fits = pieces if gaps is None else pieces.unionByName(gaps.where(F.col("length") >= least))
+            out = stored(_swept(fits, number, length, least, most, opens, range_rows), "packing")
+            number, sweeps = number + 1, sweeps + 1
+            n = {r["kind"]: r["n"] for r in out.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+            placed.append(out.where(F.col("kind") == _PLACED).select(*_PIECE))
+            narrow = [] if gaps is None else [gaps.where(F.col("length") < least)]
+            gaps = reduce(DataFrame.unionByName, [out.where((F.col("kind") == _GAP) & (F.col("length") > 0)), *narrow])
+            pieces = out.where(F.col("kind") == _LEFT) if n.get(_LEFT) else None
+            opens = not n.get(_PLACED) or sweeps == SWEEPS
+        most = least - 1
+    return reduce(DataFrame.unionByName, placed)
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", length: int = 2048) -> DataFrame:

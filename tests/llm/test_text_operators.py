@@ -102,21 +102,54 @@ def test_packing(which, request):
     assert len(by) <= 1.1 * math.ceil(total / 2048) + 2
 
 
-def test_packing_runs_equal_best_fit():
-    rng = np.random.default_rng(3)
-    items = rng.integers(1, 101, 500)
-    runs, opened = packing.best_fit(dict(Counter(items.tolist())), 100)
+def brute_best_fit(items, size):
+    """Sequences of best-fit by falling length, piece by piece."""
     gaps = []
     for s in sorted(items, reverse=True):
         fits = [g for g in gaps if g >= s]
+        g = min(fits, default=size)
         if fits:
-            g = min(fits)
             gaps.remove(g)
-        else:
-            g = 100
         gaps.append(g - s)
-    assert opened <= len(gaps)
-    assert all(0 <= off < 100 for _, _, _, off in runs)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_best_fit_kernel(seed):
+    rng = np.random.default_rng(seed)
+    items = rng.integers(1, 101, 500) if seed < 3 else np.minimum(rng.geometric(0.05, 2000), 100)
+    gap, offset, free, used = packing.best_fit(items, np.zeros(0, np.int64), np.zeros(0, np.int64), 100, True)
+    assert abs(len(free) - brute_best_fit(items.tolist(), 100)) <= 1 and (free + used == 100).all() and (free >= 0).all()
+    for g in range(len(free)):
+        at = 0
+        for k in sorted(np.flatnonzero(gap == g), key=lambda k: offset[k]):
+            assert offset[k] == at
+            at += items[k]
+        assert at == used[g]
+    first = items[gap == 0]
+    again, _, left, _ = packing.best_fit(first, np.array([100]), np.array([0]), 100, False)
+    assert (again == 0).all() and left[0] == free[0]
+    assert (packing.best_fit(np.array([50]), np.array([49]), np.array([51]), 100, False)[0] == -1).all()
+
+
+def test_packing_over_ranges(spark):
+    """Over many ranges the rounds need about as many sequences as best-fit over all pieces."""
+    rng = np.random.default_rng(9)
+    sizes = np.concatenate([rng.integers(1, 2049, 600), np.minimum(rng.geometric(0.01, 1500), 2048), np.full(700, 3), np.full(40, 2048)])
+    cut = spark.createDataFrame([(k if k % 50 else None, 0, 0, int(n), k) for k, n in enumerate(sizes.tolist())], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    want = brute_best_fit(sizes.tolist(), 2048)
+    for rows in (10**6, 300):
+        by = defaultdict(list)
+        for r in packing.pack(cut, range_rows=rows).collect():
+            by[r["sequence_id"]].append((r["offset"], r["length"], r["ids_crc32"]))
+        assert sorted(x[2] for v in by.values() for x in v) == list(range(len(sizes)))
+        for parts in by.values():
+            at = 0
+            for offset, n, _ in sorted(parts):
+                assert offset == at
+                at += n
+            assert at <= 2048
+        assert len(by) <= want + 1 + 0.02 * want * (rows == 300)
 
 
 def test_packing_empty(empty):
