@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,3 +130,36 @@ def fuzzy_find(pattern: str, sequence: str, edits: int, start: int = 0) -> tuple
     if edits and (m := regex.compile(f"(?:{pattern}){{e<={edits}}}").search(sequence, start)):
         return m.start(), m.end(), sum(m.fuzzy_counts)
     return None
+
+
+class Primer:
+    """fuzzy_find() of one primer in many sequences.
+
+    A match with e edits holds one of e + 1 pieces of the primer unchanged, at most e places off; only starts near such a piece are tried.
+    """
+
+    def __init__(self, letters: str, pattern: str, edits: int) -> None:
+        import regex
+
+        self.edits = edits
+        self.exact = re.compile(pattern)
+        self.fuzzy = regex.compile(f"(?:{pattern}){{e<={edits}}}")
+        codes = re.findall(r"\[[^]]*\]|.", pattern)
+        assert len(codes) == len(letters)
+        cuts = [round(k * len(codes) / (edits + 1)) for k in range(edits + 2)]
+        self.pieces = [(a, re.compile(f"(?=({''.join(codes[a:b])}))")) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+    def find(self, sequence: str, start: int = 0) -> tuple[int, int, int] | None:
+        if m := self.exact.search(sequence, start):
+            return m.start(), m.end(), 0
+        if not self.edits:
+            return None
+        starts: set[int] = set()
+        for offset, piece in self.pieces:
+            for m in piece.finditer(sequence, start):
+                starts.update(range(m.start() - offset - self.edits, m.start() - offset + self.edits + 1))
+        for at in sorted(starts):
+            if at >= start and self.fuzzy.match(sequence, at):
+                m = self.fuzzy.search(sequence, max(start, at - 1))  # a search takes no inserted letter where it begins
+                return m.start(), m.end(), sum(m.fuzzy_counts)
+        return None

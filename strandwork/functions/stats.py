@@ -75,13 +75,24 @@ def t_interval(df: DataFrame, keys: list[str], value: str, level: float = 0.95)
     return a.withColumn("half", half).select(*keys, "n", "mean", (F.col("mean") - F.col("half")).alias("low"), (F.col("mean") + F.col("half")).alias("high"))
 
 
-def bootstrap_corr(df: DataFrame, key: str, x: str, y: str, replicates: int = 200, seed: int = 1729) -> DataFrame:
-    """Percentile interval of a correlation over resamples drawn by a hash of (replicate, place, seed); one row.
+def bootstrap_corr(df: DataFrame, key: str, x: str, y: str, replicates: int = 2000, seed: int = 1729) -> DataFrame:
+    """Spearman's correlation with its percentile interval over resamples drawn by a hash of (replicate, place, seed); one row.
 
-    Draws are integers of a hash, so reruns agree; a replicate's sums are pre-aggregated by task.
+    Draws are integers of a hash, so reruns agree.  A resample is ranked within itself, equal values by
+    their mean rank, and weighted by how often each row was drawn; constant resamples don't count.
     """
-    n = df.count()
-    rows = df.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    draws = rows.select("i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).select("replicate", (F.pmod(F.xxhash64("replicate", "i", F.lit(seed)), F.lit(max(n, 1))) + 1).cast("int").alias("i"))
-    each = draws.join(rows, "i").groupBy("replicate").agg(F.corr("x", "y").alias("r"))
-    return each.agg(F.count("r").alias("replicates"), F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    n = known.count()
+    rows = known.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))  # the points of one figure
+    draws = rows.select("i", F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate"))
+    drawn = F.when(F.col("replicate") == 0, F.col("i")).otherwise((F.pmod(F.xxhash64("replicate", "i", F.lit(seed)), F.lit(max(n, 1))) + 1).cast("int"))  # replicate 0 is the table itself
+    counts = draws.select("replicate", drawn.alias("i")).groupBy("replicate", "i").agg(F.count("*").alias("c")).join(rows, "i")
+    mean_rank = lambda v: F.sum("c").over(Window.partitionBy("replicate").orderBy(v)) - (F.sum("c").over(Window.partitionBy("replicate", v)) - 1) / 2.0
+    c, a, b = F.col("c"), F.col("a"), F.col("b")
+    ranked = counts.select("replicate", "c", mean_rank("x").alias("a"), mean_rank("y").alias("b"))
+    s = ranked.groupBy("replicate").agg(F.sum("c").alias("m"), *[F.sum(v).alias(k) for k, v in (("sa", c * a), ("sb", c * b), ("saa", c * a * a), ("sbb", c * b * b), ("sab", c * a * b))])
+    m, va, vb = F.col("m"), F.col("saa") - F.col("sa") ** 2 / F.col("m"), F.col("sbb") - F.col("sb") ** 2 / F.col("m")
+    rho = F.when((va > 1e-9) & (vb > 1e-9), (F.col("sab") - F.col("sa") * F.col("sb") / m) / F.sqrt(va * vb))
+    each = s.select("replicate", rho.alias("r"))
+    resampled = F.when(F.col("replicate") > 0, F.col("r"))
+    return each.agg(F.round(F.max(F.when(F.col("replicate") == 0, F.col("r"))), 9).alias("rho"), F.count(resampled).alias("replicates"), F.percentile(resampled, F.lit(0.025)).alias("low"), F.percentile(resampled, F.lit(0.975)).alias("high"))

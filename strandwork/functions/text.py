@@ -32,7 +32,7 @@ def none_if_blank(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def clean_sequence(c: Column) -> Column:
@@ -191,3 +191,21 @@ def aliases(pairs: dict[str, Column]) -> Column:
 def ontology_terms(m: Column) -> Column:
     """Map of source to terms, rewritten as source to (term to positions)."""
     return F.transform_values(m, lambda _, terms: F.map_from_entries(F.transform(terms, lambda t, i: F.struct(t, F.array(i)))))
+
+
+def study_token(line: Column, place: int) -> Column:
+    """A word of a study's taxonomy line by place (negative: from the end) in lower case, or empty."""
+    words = F.filter(F.split(F.coalesce(line, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.coalesce(F.lower(F.try_element_at(words, F.lit(place))), F.lit(""))
+
+
+def study_rank(name: Column) -> Column:
+    """A study's name of a rank in lower case; nan and null are empty."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    return F.when(low == "nan", "").otherwise(low)
+
+
+def study_genus(genus: Column, line: Column) -> Column:
+    """The genus column, or else the last word of the taxonomy line."""
+    known = study_rank(genus)
+    return F.when(known != "", known).otherwise(study_token(line, -1))

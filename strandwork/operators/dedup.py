@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -55,3 +56,23 @@ def fan_out(hits: DataFrame, bridge: DataFrame, on: str) -> DataFrame:
 def not_fanned(bridge: DataFrame, hits: DataFrame, on: str) -> DataFrame:
     """Members of which no hit is known."""
     return bridge.join(hits, on, "left_anti")
+
+
+def cleaned(seq: str) -> Column:
+    return T.clean_sequence(F.col(seq))
+
+
+def length_places(df: DataFrame, length: str, order: list[str]) -> DataFrame:
+    """Adds place, from 0, in the order of length and then of order, whose first column is a digest.
+
+    Rows are numbered within a length and a beginning of the digest; what comes before is summed over counts.
+    """
+    keys = [length, "__part"]
+    d = df.withColumn("__part", F.substring(order[0], 1, 3))
+    counts = d.groupBy(*keys).agg(F.count("*").alias("__n"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.withColumn("__b", F.coalesce(F.sum("__n").over(upto(Window.partitionBy(length).orderBy("__part"))), F.lit(0)))
+    lengths = counts.groupBy(length).agg(F.sum("__n").alias("__m")).withColumn("__a", F.coalesce(F.sum("__m").over(upto(Window.partitionBy(F.lit(0)).orderBy(length))), F.lit(0)))  # one row per length
+    start = within.join(lengths, length).select(*keys, (F.col("__a") + F.col("__b")).alias("__s"))
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return d.withColumn("__r", n).join(start, keys).withColumn("place", (F.col("__s") + F.col("__r") - 1).cast("long")).drop("__part", "__r", "__s")

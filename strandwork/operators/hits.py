@@ -58,3 +58,46 @@ def majority(votes: DataFrame, keys: list[str], name: Column) -> DataFrame:
     c = counts.withColumn("__top", F.max("__n").over(w)).withColumn("__total", F.sum("__n").over(w)).where("__n = __top")
     out = c.groupBy(*keys).agg(F.min("__name").alias("__first"), F.count("*").alias("__k"), F.max("__top").alias("__top"), F.max("__total").alias("__total"))
     return out.select(*keys, F.when(F.col("__k") > 1, "AMBIG").otherwise(F.col("__first")).alias("winner"), (F.col("__top").cast("double") / F.col("__total")).alias("strength"))
+
+
+def exact_flag(neighbours: DataFrame, digests: DataFrame, key: str) -> DataFrame:
+    """Adds exact_md5_match to (query_id, ref_id): whether both have the same digest; digests: key and digest."""
+    side = lambda c: digests.select(F.col(key).alias(c), F.col("digest").alias(f"__{c}"))
+    out = neighbours.join(side("query_id"), "query_id", "left").join(side("ref_id"), "ref_id", "left")
+    return out.withColumn("exact_md5_match", F.coalesce(F.col("__query_id") == F.col("__ref_id"), F.lit(False))).drop("__query_id", "__ref_id")
+
+
+def novel(best_cosine: Column, least: float = 0.9) -> Column:
+    """Whether a query is unlike every reference."""
+    return F.coalesce(best_cosine < least, F.lit(True))
+
+
+def first_passing(hits: DataFrame, query: str, passes: Column, order: str) -> DataFrame:
+    """The first hit of each query, in order, that passes; queries without any go."""
+    kept = hits.where(passes)
+    return kept.groupBy(query).agg(F.min_by(F.struct(*kept.columns), order).alias("__h")).select("__h.*")
+
+
+def pool(parts: list[DataFrame]) -> DataFrame:
+    """The different rows of several candidate tables."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.distinct()
+
+
+def missed(candidates: DataFrame, others: DataFrame, query: str, ref: str, value: str) -> DataFrame:
+    """n queries; those for which a row of others beats every candidate, and those whose best of both is the best candidate."""
+    both = candidates.select(query, ref, value, F.lit(True).alias("mine")).union(others.select(query, ref, value, F.lit(False)))
+    best = F.struct(value, -F.col(ref))
+    q = both.groupBy(query).agg(F.max(F.when(F.col("mine"), F.col(value))).alias("c"), F.max(F.when(~F.col("mine"), F.col(value))).alias("r"), F.max_by(ref, best).alias("top"), F.max_by(ref, F.when(F.col("mine"), best)).alias("own"))
+    return q.agg(F.count("*").alias("n"), F.count_if(F.col("r") > F.col("c")).alias("n_missed"), F.count_if(F.col("top") == F.col("own")).alias("n_same_first"))
+
+
+def domain_gate(domain: Column, phylum: Column, domains: list[str] | None = None) -> Column:
+    return domain.isin(*(domains or ["Archaea", "Bacteria"])) & phylum.isNotNull()
+
+
+def genus_band(best_identity: Column, truth: Column, low: float = 0.945, high: float = 0.987) -> Column:
+    """Queries whose best hit is of their genus but no nearer, and whose truth is known."""
+    return (best_identity >= low) & (best_identity < high) & (F.coalesce(truth, F.lit("")) != "")

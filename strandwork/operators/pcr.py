@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels, text
@@ -35,6 +36,21 @@ PANEL = (
 )
 
 
+def load_panel(spark: SparkSession, path: str) -> tuple[Region, ...]:
+    """The regions of a panel file; the built-in ones unless it has exactly eight of different names, none of them V6-V8."""
+    schema = "regions array<struct<name: string, fwd: string, rev: string, insert_lo: int, insert_hi: int, lo: int, hi: int, priority: string>>"
+    try:
+        found = spark.read.option("wholetext", True).text(path).select(F.from_json("value", schema)["regions"].alias("r")).first()
+    except AnalysisException:
+        return PANEL
+    regions = found["r"] if found and found["r"] else []
+    names = {r["name"] for r in regions}
+    if len(regions) != 8 or len(names) != 8 or "V6-V8" in names:
+        return PANEL
+    either = lambda a, b: a if a is not None else b
+    return tuple(Region(r["name"], r["fwd"], r["rev"], either(r["insert_lo"], r["lo"]), either(r["insert_hi"], r["hi"]), r["priority"] or "core") for r in regions)
+
+
 def chosen(names: list[str] | None = None, core_only: bool = False, panel: tuple[Region, ...] = PANEL) -> tuple[Region, ...]:
     unknown = set(names or ()) - {r.name for r in panel}
     if unknown:
@@ -42,43 +58,32 @@ def chosen(names: list[str] | None = None, core_only: bool = False, panel: tuple
     return tuple(r for r in panel if (not names or r.name in names) and (not core_only or r.priority == "core"))
 
 
-def first_span(seq: Column, pattern: str, width: int, start: Column | None = None) -> Column:
-    """1-based place of the first match (0: none) of a pattern of fixed width, from start on."""
-    if start is None:
-        return F.regexp_instr(seq, F.lit(pattern))
-    rest = F.substring(seq, start, F.length(seq))
-    at = F.regexp_instr(rest, F.lit(pattern))
-    return F.when(at > 0, at + start - 1).otherwise(0)
+def exact_inserts(df: DataFrame, seq: str, forward: str, reverse: str, low: int, high: int) -> DataFrame:
+    """df with at (1-based place of the first forward match) and insert, the text from its end to the next reverse match; other rows go, as do inserts outside low..high.
 
+    Each text is split once by each pattern; the generators keep filters from copying the patterns.
+    """
+    cut = lambda c, pattern: F.explode(F.array(F.split(c, pattern, 2)))
+    first = df.withColumn("__f", cut(F.col(seq), forward)).where(F.size("__f") == 2)
+    both = first.withColumn("at", (F.length(F.col("__f")[0]) + 1).cast("long")).withColumn("__r", cut(F.col("__f")[1], reverse)).where(F.size("__r") == 2)
+    return both.withColumn("insert", F.col("__r")[0]).where(F.length("insert").between(low, high)).drop("__f", "__r")
 
-def exact_insert(seq: Column, region_forward: str, region_reverse: str, low: int, high: int) -> Column:
-    """Text between the first forward match and the next reverse match, null outside low..high."""
-    fwd, rev = region_forward, region_reverse
-    at = first_span(seq, fwd, 0)
-    hit = F.regexp_extract(seq, f"({fwd})", 1)
-    begin = at + F.length(hit)
-    rest = F.substring(seq, begin, F.length(seq))
-    end = F.regexp_instr(rest, F.lit(rev))
-    insert = F.substring(rest, F.lit(1), end - 1)
-    return F.when((at > 0) & (end > 0) & (F.length(insert) >= low) & (F.length(insert) <= high), insert)
 
-
-def amplicons(seqs: DataFrame, key: str, seq: str, panel: tuple[Region, ...] = PANEL, edits: int = 0, include_primers: bool = False) -> DataFrame:
+def amplicons(seqs: DataFrame, key: str, seq: str, panel: tuple[Region, ...] = PANEL, edits: int = 3, include_primers: bool = True) -> DataFrame:
     """(key, region, amplicon, fwd_edits, rev_edits, strand); the reverse strand is tried where the forward one gives nothing, region by region."""
-    plan = [(r.name, text.primer_pattern(r.forward), text.primer_pattern(text.reversed_primer(r.reverse)), r.low, r.high) for r in panel]
-
-    def one(s: str, fwd: str, rev: str, low: int, high: int) -> tuple[str, int, int] | None:
-        f = kernels.fuzzy_find(fwd, s, edits)
-        if f is None:
-            return None
-        r = kernels.fuzzy_find(rev, s, edits, f[1])
-        if r is None or not low <= r[0] - f[1] <= high:
-            return None
-        return (s[f[0] : r[1]] if include_primers else s[f[1] : r[0]]), f[2], r[2]
-
+    plan = [(r.name, r.forward, text.reversed_primer(r.reverse), r.low, r.high) for r in panel]
     turn = str.maketrans(text.CODES, text.COMPLEMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        primers = {p: kernels.Primer(p, text.primer_pattern(p), edits) for _, f, r, _, _ in plan for p in (f, r)}
+
+        def one(s: str, fwd: str, rev: str, low: int, high: int) -> tuple[str, int, int] | None:
+            f = primers[fwd].find(s)
+            r = f and primers[rev].find(s, f[1])
+            if not r or not low <= r[0] - f[1] <= high:
+                return None
+            return (s[f[0] : r[1]] if include_primers else s[f[1] : r[0]]), f[2], r[2]
+
         for b in batches:
             out: list[tuple] = []
             for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

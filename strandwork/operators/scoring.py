@@ -102,3 +102,111 @@ def allocate(strata: DataFrame, parent: str, child: str, available: str, total:
     s = s.withColumn("before", F.sum("room").over(o.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("room"))
     extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("room"), F.col("left_over") - F.col("before")))
     return s.select(parent, child, F.col(available).cast("long").alias(available), (F.col("base") + extra).alias("allocated"))
+
+
+Cells = list[tuple[str, Column]]
+
+
+def shared_to(cells: Cells) -> Column:
+    """Name of the deepest correct rank, whatever is wrong above it; null if none is."""
+    return F.coalesce(*[F.when(c, F.lit(n)) for n, c in reversed(cells)])
+
+
+def _depth(values: list[Column]) -> Column:
+    """1-based place of the deepest rank that has a name; null if none has."""
+    return F.coalesce(*[F.when(F.coalesce(v, F.lit("")) != "", F.lit(i)) for i, v in reversed(list(enumerate(values, 1)))])
+
+
+def off_by(cells: Cells, truths: list[Column]) -> Column:
+    """For a wrong call, ranks between the truth's depth and the last of the unbroken run of correct ranks."""
+    run, right = F.lit(0), F.lit(True)
+    for _, c in cells:
+        right = right & F.coalesce(c, F.lit(False))
+        run = run + right.cast("int")
+    return F.when(first_wrong(cells).isNotNull(), _depth(truths) - run)
+
+
+def overconfident(truths: list[Column], calls: list[Column], ambiguous: str = "AMBIG") -> Column:
+    """Whether a name is called at a rank deeper than the truth has."""
+    depth, out = _depth(truths), F.lit(False)
+    for i, c in enumerate(calls, 1):
+        out = out | (F.coalesce(depth < i, F.lit(False)) & ~F.coalesce(c, F.lit("")).isin("", ambiguous))
+    return out
+
+
+def misassigned(cells: Cells, self_found: Column) -> Column:
+    """self_displaced (its own source was among the hits), sibling (right at the rank above the first wrong one) or cross_lineage; null if nothing is wrong."""
+    kind = F.lit("cross_lineage")
+    for (_, above), (name, _) in zip(cells, cells[1:], strict=False):
+        kind = F.when((first_wrong(cells) == name) & F.coalesce(above, F.lit(False)), "sibling").otherwise(kind)
+    return F.when(first_wrong(cells).isNull(), F.lit(None).cast("string")).when(self_found, "self_displaced").otherwise(kind)
+
+
+def common_in_all(df: DataFrame, unit: str, group: str) -> DataFrame:
+    """n_units, and n_common: units that occur in every group."""
+    n = df.agg(F.count_distinct(group).alias("n"))
+    per = df.groupBy(unit).agg(F.count_distinct(group).alias("k"))
+    return per.join(F.broadcast(n)).agg(F.count("*").alias("n_units"), F.count_if(F.col("k") == F.col("n")).alias("n_common"))  # n is one row
+
+
+def against(df: DataFrame, levels: dict[str, tuple[str, str]], name: str = "level") -> DataFrame:
+    """Per level of (own, reference) names: rows with a blank own name, else a blank reference, else compared, and how many agree."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias(name), F.col(a).alias("own"), F.col(b).alias("ref")) for k, (a, b) in levels.items()])))
+    own, ref = F.col("own"), F.col("ref")
+    compared = ~blank(own) & ~blank(ref)
+    out = long.groupBy(name).agg(F.count_if(blank(own)).alias("own_blank"), F.count_if(~blank(own) & blank(ref)).alias("ref_blank"), F.count_if(compared).alias("compared"), F.count_if(compared & (own == ref)).alias("agree"))
+    return out.withColumn("share", stats.ratio(F.col("agree"), F.col("compared")))
+
+
+def described(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, mean, sample deviation, extremes and quartiles."""
+    q = lambda p: F.percentile(value, F.lit(p))
+    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 9).alias("mean"), F.round(F.stddev_samp(value), 9).alias("std"), F.min(value).alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(value).alias("high"))
+
+
+def known_means(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Greatest value, mean and number of those values that are neither null nor NaN."""
+    x = F.nanvl(F.col(value), F.lit(None).cast("double"))
+    return df.groupBy(*keys).agg(F.max(x).alias("high"), F.round(F.avg(x), 9).alias("mean"), F.count(x).alias("n"))
+
+
+def leakage(df: DataFrame, keys: list[str], include: str, exclude: str) -> DataFrame:
+    """How much the mean falls once a query's own source is excluded: over resolved rows, and over all with 0 for those without a value."""
+    zero = lambda c: F.avg(F.coalesce(c, F.lit(0.0)))
+    return df.groupBy(*keys).agg(F.round(F.avg(include) - F.avg(exclude), 9).alias("gap_resolved"), F.round(zero(include) - zero(exclude), 9).alias("gap_population"))
+
+
+def _largest_remainder(nodes: DataFrame, parents: list[str], child: str, alpha: float, cap_share: float) -> DataFrame:
+    """Adds allocated to nodes (available, budget): shares by available^alpha, at most cap_share of the budget; caps give way only when all are reached."""
+    w = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))  # a parent's children
+    upto = lambda o: o.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    a, b, zero = F.col("available"), F.col("budget"), F.lit(0).cast("long")
+    n = nodes.withColumn("weight", F.pow(a.cast("double"), F.lit(alpha))).withColumn("raw", b * F.col("weight") / F.sum("weight").over(w)).withColumn("cap", F.least(a, F.ceil(b * cap_share)))
+    n = n.withColumn("base", F.least(F.floor("raw"), F.col("cap"))).withColumn("room", F.col("cap") - F.col("base")).withColumn("over", b - F.sum("base").over(w))
+    by_rest = w.orderBy(F.desc(F.col("raw") - F.floor("raw")), child)
+    n = n.withColumn("before", F.sum("room").over(upto(by_rest)) - F.col("room"))
+    n = n.withColumn("one", F.col("base") + F.greatest(zero, F.least(F.col("room"), F.col("over") - F.col("before"))))
+    # beyond the caps one by one in turn: every child up to a level, and one more for the first ones
+    n = n.withColumn("rest", b - F.sum("one").over(w)).withColumn("room", a - F.col("one"))
+    by_room = w.orderBy("room", child)
+    n = n.withColumn("turn", F.row_number().over(by_room)).withColumn("level", F.floor((F.col("rest") - (F.sum("room").over(upto(by_room)) - F.col("room"))) / (F.count("*").over(w) - F.col("turn") + 1)))
+    level = F.min(F.when(F.col("level") < F.col("room"), F.struct("turn", "level"))).over(w)["level"]
+    n = n.withColumn("level", F.coalesce(level, F.col("room"))).withColumn("two", F.least("room", "level"))
+    n = n.withColumn("rest", F.col("rest") - F.sum("two").over(w)).withColumn("more", F.col("room") > F.col("level"))
+    first = F.row_number().over(w.orderBy(F.desc("more"), child))
+    extra = (F.col("more") & (first <= F.col("rest"))).cast("long")
+    fits = F.sum("available").over(w) <= b
+    n = n.withColumn("allocated", F.when(b <= 0, zero).when(fits, a).otherwise(F.col("one") + F.col("two") + extra).cast("long"))
+    return n.select(*parents, child, "available", "allocated")
+
+
+def allocate_tree(leaves: DataFrame, levels: list[str], available: str, budget: int, alpha: float = 0.5, cap_share: float = 0.35) -> DataFrame:
+    """Deals a budget down a tree of levels: each node's share is dealt to its children by largest remainders under a cap."""
+    out = None
+    for i, child in enumerate(levels):
+        parents = levels[:i]
+        nodes = leaves.groupBy(*parents, child).agg(F.sum(available).cast("long").alias("available"))
+        nodes = nodes.withColumn("budget", F.lit(budget).cast("long")) if out is None else nodes.join(out.select(*parents, F.col("allocated").alias("budget")), parents)
+        out = _largest_remainder(nodes, parents, child, alpha, cap_share)
+    return out

@@ -150,12 +150,12 @@ def fanout_missing(spark, sf):
     return dedup.not_fanned(m, t(spark, sf, "labels").select(F.col("doc_id").alias("row_id")), "row_id").agg(F.count("*").alias("n_missing"))
 
 
-@query("""SELECT lang, count(*) AS n, round(avg(n_chars::DOUBLE), 6) AS mean, round(stddev_pop(n_chars::DOUBLE), 6) AS std, round(quantile_cont(n_chars::DOUBLE, 0.05), 6) AS p5, round(quantile_cont(n_chars::DOUBLE, 0.25), 6) AS p25, round(quantile_cont(n_chars::DOUBLE, 0.5), 6) AS median,
+@query("""SELECT lang, count(*) AS n, round(avg(n_chars::DOUBLE), 6) AS mean, round(stddev_pop(n_chars::DOUBLE), 6) AS std, round(quantile_cont(n_chars::DOUBLE, 0.01), 6) AS p1, round(quantile_cont(n_chars::DOUBLE, 0.99), 6) AS p99, round(quantile_cont(n_chars::DOUBLE, 0.05), 6) AS p5, round(quantile_cont(n_chars::DOUBLE, 0.25), 6) AS p25, round(quantile_cont(n_chars::DOUBLE, 0.5), 6) AS median,
   round(quantile_cont(n_chars::DOUBLE, 0.75), 6) AS p75, round(quantile_cont(n_chars::DOUBLE, 0.95), 6) AS p95, min(n_chars) AS low, max(n_chars) AS high FROM documents GROUP BY lang""")
 def seq_stats(spark, sf):
     x = F.col("n_chars").cast("double")
     p = lambda q: F.round(F.percentile(x, F.lit(q)), 6)
-    return t(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), p(0.05).alias("p5"), p(0.25).alias("p25"), p(0.5).alias("median"), p(0.75).alias("p75"), p(0.95).alias("p95"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+    return t(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.stddev_pop(x), 6).alias("std"), p(0.01).alias("p1"), p(0.99).alias("p99"), p(0.05).alias("p5"), p(0.25).alias("p25"), p(0.5).alias("median"), p(0.75).alias("p75"), p(0.95).alias("p95"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
 
 
 @query("SELECT doc_id, n_chars, n_chars > 2000 OR n_chars < 200 AS atypical FROM documents WHERE n_chars BETWEEN 100 AND 3000")
@@ -229,20 +229,65 @@ e AS (SELECT doc_id, pos, rest, instr(rest, 'AND') AS stop FROM g)
 SELECT doc_id, pos::BIGINT AS "at", (stop - 1)::BIGINT AS insert_length, md5(substr(rest, 1, (stop - 1)::BIGINT)) AS insert_md5 FROM e WHERE stop > 0 AND stop - 1 BETWEEN 5 AND 400""")
 def pcr_exact(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", text.clean_sequence(F.col("text")).alias("s"))
-    s = F.col("s")
-    out = d.select("doc_id", pcr.first_span(s, "TH[AE]", 3).cast("long").alias("at"), pcr.exact_insert(s, "TH[AE]", "AND", 5, 400).alias("insert")).where("insert is not null")
+    out = pcr.exact_inserts(d, "s", "TH[AE]", "AND", 5, 400)
     return out.select("doc_id", "at", F.length("insert").cast("long").alias("insert_length"), F.md5(F.col("insert").cast("binary")).alias("insert_md5"))
 
 
+def _plain(primer: str, changed: int = 0) -> str:
+    """One sequence that a degenerate primer fits, with so many letters changed."""
+    letters = list(primer.translate(str.maketrans("RYSWKMBDHVN", "ACCAGACAAAA")))
+    for at in (3, 8, 11, 13)[:changed]:
+        letters[at] = letters[at].translate(str.maketrans("ACGT", "CATG"))
+    return "".join(letters)
+
+
+_FORWARD = [_plain(r.forward, n) for r in pcr.PANEL for n in range(5)]
+_REVERSE = [_plain(text.reversed_primer(r.reverse)) for r in pcr.PANEL]
+
+
+def strands(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, seq): for every document a sequence of pseudo-random bases that holds the primers of one region, with 0 to 4 letters changed in the
+    forward one, an insert whose length may be out of bounds, and every third sequence on the reverse strand."""
+    k, regions = F.col("doc_id"), len(pcr.PANEL)
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    dna = F.translate(F.concat(*[F.md5(F.concat_ws("-", k, F.lit(i)).cast("binary")) for i in range(52)]), "0123456789abcdef", "ACGTACGTACGTACGT")
+    size = pick([r.low for r in pcr.PANEL], k % regions) + k * 37 % (pick([r.high - r.low for r in pcr.PANEL], k % regions) + 40)
+    d = t(spark, sf, "documents").select("doc_id", dna.alias("dna"), pick(_FORWARD, k % regions * 5 + k % 5).alias("f"), pick(_REVERSE, k % regions).alias("r"), size.cast("int").alias("size"))
+    s = F.concat(F.substring("dna", 1, 40), F.col("f"), F.substring(F.col("dna"), F.lit(41), F.col("size")), F.col("r"), F.substring("dna", 1601, 30))
+    return d.select("doc_id", s.alias("s")).select("doc_id", F.when(k % 3 == 0, text.reverse_complement(F.col("s"))).otherwise(F.col("s")).alias("seq"))
+
+
+_N = len(pcr.PANEL)
+_STRANDS = (
+    "WITH d AS (SELECT doc_id, translate(array_to_string([md5(doc_id || '-' || i) FOR i IN range(0, 52)], ''), '0123456789abcdef', 'ACGTACGTACGTACGT') AS dna, "
+    f"{_FORWARD}[doc_id % {_N} * 5 + doc_id % 5 + 1] AS f, {_REVERSE}[doc_id % {_N} + 1] AS r, {[r.low for r in pcr.PANEL]}[doc_id % {_N} + 1] + doc_id * 37 % ({[r.high - r.low for r in pcr.PANEL]}[doc_id % {_N} + 1] + 40) AS size FROM documents),\n"
+    "w AS (SELECT doc_id, substr(dna, 1, 40) || f || substr(dna, 41, size::BIGINT) || r || substr(dna, 1601, 30) AS s FROM d),\n"
+    "z AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS seq FROM w),\n"
+    "b AS (SELECT doc_id, '+' AS strand, seq FROM z UNION ALL SELECT doc_id, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM z),\n"
+    "p(region, f, r, low, high) AS (VALUES " + ", ".join(f"('{r.name}', '{text.primer_pattern(r.forward)}', '{text.primer_pattern(text.reversed_primer(r.reverse))}', {r.low}, {r.high})" for r in pcr.PANEL) + "),\n"
+    "h AS (SELECT doc_id, region, strand, regexp_extract(seq, f || '.*?' || r) AS amplicon, length(regexp_extract(seq, f)) + length(regexp_extract(seq, r)) AS primers, low, high FROM b, p),\n"
+    "i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, region ORDER BY strand) AS k FROM h WHERE amplicon <> '' AND length(amplicon) - primers BETWEEN low AND high)\n"
+)
+
+
+@query(_STRANDS + "SELECT doc_id, region, strand, length(amplicon)::BIGINT AS amplicon_length, md5(amplicon) AS amplicon_md5 FROM i WHERE k = 1")
+def pcr_panel_exact(spark, sf):
+    out = pcr.amplicons(strands(spark, sf), "doc_id", "seq", edits=0)
+    return out.select(F.col("key").alias("doc_id"), "region", "strand", F.length("amplicon").cast("long").alias("amplicon_length"), F.md5(F.col("amplicon").cast("binary")).alias("amplicon_md5"))
+
+
 @query()
 def pcr_panel(spark, sf):
-    return pcr.amplicons(t(spark, sf, "documents"), "doc_id", "text", edits=0).groupBy("region", "strand").agg(F.count("*").alias("n"))
+    """The whole panel with up to three edits a primer."""
+    out = pcr.amplicons(strands(spark, sf), "doc_id", "seq")
+    return out.select(F.col("key").alias("doc_id"), "region", "strand", "fwd_edits", "rev_edits", F.length("amplicon").cast("long").alias("amplicon_length"), F.md5(F.col("amplicon").cast("binary")).alias("amplicon_md5"))
 
 
 @query()
 def pcr_fuzzy(spark, sf):
-    panel = (pcr.Region("short", "THAT", "AND", 5, 400),)
-    return pcr.amplicons(t(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", "p_name", panel, edits=1)
+    """Short primers with one edit over whole texts."""
+    panel = (pcr.Region("short", "CATAT", "TAATC", 5, 4000),)
+    return pcr.amplicons(t(spark, sf, "documents"), "doc_id", "text", panel, edits=1).withColumnRenamed("key", "doc_id")
 
 
 @query(r"""SELECT page_id, CASE WHEN regexp_extract(url, '(GC[AF]_\d+\.\d+)', 1) <> '' THEN regexp_extract(url, '(GC[AF]_\d+\.\d+)', 1) ELSE regexp_replace(split_part(url, '/', -1), '\.(fna|fasta|fa)(\.gz)?$', '') END AS accession FROM pages""")

@@ -145,10 +145,10 @@ def tie_place(spark, sf):
     return hits.place_in_ties(hit_table(spark, sf), "query_id", "identity").select("query_id", "rank", "n_above", "n_equal")
 
 
-@query(HITS_SQL + ", n AS (SELECT query_id, count(*) FILTER (best_identity - identity <= 0.005) AS n FROM hits GROUP BY query_id) SELECT least(n, 5) AS size, count(*) AS queries FROM n GROUP BY 1")
+@query(HITS_SQL + ", n AS (SELECT query_id, count(*) FILTER (best_identity - identity <= 0.005) AS n FROM hits GROUP BY query_id) SELECT least(n, 20) AS size, count(*) AS queries FROM n GROUP BY 1")
 def tie_histogram(spark, sf):
     n = hits.tie_cluster(hit_table(spark, sf), "query_id", "identity", 0.005)
-    return n.groupBy(F.least("n_tied", F.lit(5).cast("long")).alias("size")).agg(F.count("*").alias("queries"))
+    return n.groupBy(F.least("n_tied", F.lit(20).cast("long")).alias("size")).agg(F.count("*").alias("queries"))
 
 
 @query(HITS_SQL + "SELECT query_id, genome_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank))::INTEGER AS rank FROM hits WHERE NOT (taxon_id % 5 = query_id % 5 OR identity >= 0.99)")
@@ -562,7 +562,7 @@ def t_intervals(spark, sf):
 def bootstrap_interval(spark, sf):
     from .functions.stats import bootstrap_corr
 
-    return bootstrap_corr(t(spark, sf, "part"), "p_partkey", "p_size", "p_retailprice", 50)
+    return bootstrap_corr(t(spark, sf, "part").groupBy("p_brand").agg(F.avg("p_size").alias("x"), F.avg("p_retailprice").alias("y")), "p_brand", "x", "y")
 
 
 @query()

@@ -32,9 +32,19 @@ def read_json_map(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", "map<string,string>")).alias("header", "seq"))
 
 
+def is_json_map(spark: SparkSession, path: str) -> bool:
+    """Whether a file is a JSON map: by its suffix, or else by its first character that is not white space."""
+    if path.removesuffix(".gz").endswith(".json"):
+        return True
+    if _is_fasta(path):
+        return False
+    first = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v <> ''").first()
+    return first is not None and first["v"].startswith("{")
+
+
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """(header, seq), by suffix."""
-    return read_fasta(spark, path).select("header", "seq") if _is_fasta(path) else read_json_map(spark, path)
+    """(header, seq) of a FASTA file or a JSON map."""
+    return read_json_map(spark, path) if is_json_map(spark, path) else read_fasta(spark, path).select("header", "seq")
 
 
 def file_statistics(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,3 +75,61 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def metadata_text(c: Column, length: int = 800) -> Column:
     return F.left(c, F.lit(length))
+
+
+def read_rank_maps(spark: SparkSession, path: str) -> DataFrame:
+    """(genome_id, lineage) from a JSON map of rank names by genome id (or id__suffix); a blank domain is taken from Domain or Kingdom."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("key", "ranks"))
+    named = lambda *keys: F.coalesce(*[F.when(F.col("ranks")[k] != "", F.col("ranks")[k]) for k in keys], F.lit(""))
+    parts = []
+    for rank in ("domain", *(r.lower() for r in RANKS[1:])):
+        keys = (rank.capitalize(), rank, "Kingdom") if rank == "domain" else (rank.capitalize(), rank)
+        parts.append(F.concat(F.lit(f"{rank[0]}__"), named(*keys)))
+    return raw.select(F.substring_index("key", "__", 1).alias("genome_id"), F.concat_ws(";", *parts).alias("lineage"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One record a line; lines that are no JSON of the schema are left out."""
+    return spark.read.schema(schema + ", _corrupt_record string").json(path).where("_corrupt_record is null").drop("_corrupt_record")
+
+
+SCORES = "src_genome_id string, region string, self_modes map<string, struct<scores: map<string, struct<cells: map<string, boolean>>>>>"
+
+
+def correct_cells(records: DataFrame, predictor: str, rank: str, mode: str) -> DataFrame:
+    """(unit, region, correct) from records of SCORES; a cell that is false or missing is not correct, a record without the mode or region is left out."""
+    scores = F.col("self_modes")[mode]
+    cell = scores["scores"][predictor]["cells"][rank]
+    return records.where(scores.isNotNull() & (F.coalesce("region", F.lit("")) != "")).select(F.col("src_genome_id").alias("unit"), "region", F.coalesce(cell, F.lit(False)).alias("correct"))
+
+
+def export_jsonl(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def domain_map(spark: SparkSession, path: str) -> DataFrame:
+    """(genome_id, domain) from a selection manifest or a flat JSON map; no rows if the file is neither."""
+    one = "genomes array<struct<genome_id: string, domain: string>>"
+    empty = spark.createDataFrame([], "genome_id string, domain string")
+    try:
+        raw = spark.read.option("wholetext", True).text(path)
+        kind = raw.select(F.expr("json_object_keys(value)").alias("k")).first()["k"]
+    except AnalysisException:
+        return empty
+    if kind is None:
+        return empty
+    if "genomes" in kind:
+        g = raw.select(F.inline(F.from_json("value", one)["genomes"]))
+    else:
+        g = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("genome_id", "domain"))
+    return g.where("genome_id <> '' and domain <> ''")
+
+
+def amplicon_keys(spark: SparkSession, fasta_path: str, manifest: DataFrame, regions: list[str]) -> DataFrame:
+    """(key) of amplicons: the headers of a FASTA file, or without one every manifest genome with every region."""
+    from .fasta import read_fasta
+
+    try:
+        return read_fasta(spark, fasta_path, first_token=True).select(F.col("header").alias("key"))
+    except AnalysisException:
+        return manifest.select(F.explode(F.array(*[F.concat_ws("__", "genome_id", F.lit(r)) for r in regions])).alias("key"))

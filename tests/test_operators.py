@@ -103,7 +103,7 @@ def test_pcr_reverse_strand_and_bounds(spark):
     fwd = "TTAACC" + "ACGTA" + text.reversed_primer("GGTT") + "TT"
     rev = fwd.translate(str.maketrans("ACGT", "TGCA"))[::-1]
     df = spark.createDataFrame([(1, fwd), (2, rev), (3, "TTAACC" + "A" * 9 + "AACC"), (4, back), (5, None)], "k long, s string")
-    got = {r["key"]: (r["amplicon"], r["strand"]) for r in pcr.amplicons(df, "k", "s", panel).collect()}
+    got = {r["key"]: (r["amplicon"], r["strand"]) for r in pcr.amplicons(df, "k", "s", panel, edits=0, include_primers=False).collect()}
     assert got[1] == ("ACGTA", "+") and got[2][0] is not None and 3 not in got
     with pytest.raises(ValueError):
         pcr.chosen(["nowhere"])
@@ -175,3 +175,69 @@ def test_t_interval(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 5.0)], "g string, x double")
     got = {r["g"]: r for r in t_interval(df, ["g"], "x").collect()}
     assert got["a"]["high"] - 2.0 == pytest.approx(4.302653 / 3**0.5, abs=1e-3) and got["b"]["low"] == got["b"]["high"] == 5.0
+
+
+def largest_remainder(avail, budget):
+    """Child by child: floored shares under a cap, largest fractions first, then one by one in turn."""
+    import math
+
+    if budget <= 0 or sum(avail.values()) <= budget:
+        return dict.fromkeys(avail, 0) if budget <= 0 else dict(avail)
+    caps = {c: min(n, math.ceil(0.35 * budget)) for c, n in avail.items()}
+    total = sum(n**0.5 for n in avail.values())
+    raw = {c: budget * n**0.5 / total for c, n in avail.items()}
+    out = {c: min(math.floor(raw[c]), caps[c]) for c in avail}
+    left = budget - sum(out.values())
+    for c in sorted(avail, key=lambda c: (-(raw[c] - math.floor(raw[c])), c)):
+        give = min(caps[c] - out[c], left)
+        out[c], left = out[c] + give, left - give
+    while left > 0:
+        for c in sorted(avail):
+            if left and out[c] < avail[c]:
+                out[c], left = out[c] + 1, left - 1
+    return out
+
+
+def test_tree_allocation(spark):
+    import random
+
+    from strandwork.operators import scoring
+
+    r = random.Random(3)
+    leaves = [(f"a{a}", f"b{b}", f"c{c}", r.choice([1, 2, 5, 40, 300])) for a in range(2) for b in range(r.randint(1, 4)) for c in range(r.randint(1, 6))]
+    df = spark.createDataFrame(leaves, "a string, b string, c string, n int")
+    for budget in (0, 7, 60, 500, 10**6):
+        want = {}
+
+        def deal(prefix, budget, depth):
+            if depth == 3:
+                want[prefix] = budget
+                return
+            avail = {}
+            for row in leaves:
+                if row[:depth] == prefix:
+                    avail[row[depth]] = avail.get(row[depth], 0) + row[3]
+            for child, n in largest_remainder(avail, budget).items():
+                deal((*prefix, child), n, depth + 1)
+
+        deal((), budget, 0)
+        got = {(x["a"], x["b"], x["c"]): x["allocated"] for x in scoring.allocate_tree(df, ["a", "b", "c"], "n", budget).collect()}
+        assert got == want
+
+
+def test_bootstrap_of_spearman(spark):
+    import numpy as np
+    import pandas as pd
+
+    from strandwork.functions.stats import bootstrap_corr
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, 60).astype(float)
+    y = x + rng.normal(0, 4, 60).round()
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y))] + [(99, None, 1.0), (100, float("nan"), 1.0)], "k long, x double, y double")
+    got = bootstrap_corr(df, "k", "x", "y", 400).first()
+    rank = lambda v: pd.Series(v).rank().to_numpy()
+    rho = lambda i: np.corrcoef(rank(x[i]), rank(y[i]))[0, 1]
+    draws = [rho(rng.integers(0, 60, 60)) for _ in range(2000)]
+    assert abs(got["rho"] - rho(np.arange(60))) < 1e-8 and got["replicates"] == 400
+    assert abs(got["low"] - np.quantile(draws, 0.025)) < 0.05 and abs(got["high"] - np.quantile(draws, 0.975)) < 0.05

@@ -74,3 +74,72 @@ def test_stream_takes_each_key_once(spark, tmp_path):
     run()
     run()
     assert sorted((r["k"], r["x"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_json_is_told_by_content(spark, tmp_path):
+    (tmp_path / "seqs").write_text('\n  {"a": "ACGT"}')
+    (tmp_path / "plain").write_text(">a\nACGT\n")
+    for name in ("seqs", "plain"):
+        assert [tuple(r) for r in fasta.read_sequences(spark, str(tmp_path / name)).collect()] == [("a", "ACGT")]
+
+
+def test_rank_maps(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"1.2__V4": {"Kingdom": "Bacteria", "Phylum": "P", "genus": "g"}, "3.4": {"domain": "Archaea", "Species": "s"}}')
+    got = {r["genome_id"]: r["lineage"] for r in tables.read_rank_maps(spark, str(tmp_path / "t.json")).collect()}
+    assert got == {"1.2": "d__Bacteria;p__P;c__;o__;f__;g__g;s__", "3.4": "d__Archaea;p__;c__;o__;f__;g__;s__s"}
+
+
+def test_jsonl_with_nested_cells(spark, tmp_path):
+    cells = lambda v: '{"scores": {"anchor": {"cells": {"Genus": %s}}}}' % v
+    lines = [f'{{"src_genome_id": "1.1", "region": "V4", "self_modes": {{"include": {cells("true")}}}}}', f'{{"src_genome_id": "1.1", "region": "V3", "self_modes": {{"include": {cells("null")}}}}}', f'{{"src_genome_id": "2.1", "region": "", "self_modes": {{"include": {cells("true")}}}}}', '{"src_genome_id": "3.1", "region": "V4"}', "", "no json"]
+    (tmp_path / "s.jsonl").write_text("\n".join(lines))
+    records = tables.read_jsonl(spark, str(tmp_path / "s.jsonl"), tables.SCORES)
+    got = sorted(map(tuple, tables.correct_cells(records, "anchor", "Genus", "include").collect()))
+    assert got == [("1.1", "V3", False), ("1.1", "V4", True)]
+    tables.export_jsonl(spark.range(3), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_panel_and_domain_map_fall_back(spark, tmp_path):
+    import json
+
+    from strandwork.operators import pcr
+
+    regions = [{"name": f"R{k}", "fwd": "ACGT", "rev": "GGTT", "insert_lo": k, "insert_hi": 100, "priority": "core"} for k in range(8)]
+    (tmp_path / "p.json").write_text(json.dumps({"regions": regions}))
+    assert [r.low for r in pcr.load_panel(spark, str(tmp_path / "p.json"))] == list(range(8))
+    (tmp_path / "q.json").write_text(json.dumps({"regions": regions[:7]}))
+    assert pcr.load_panel(spark, str(tmp_path / "q.json")) == pcr.PANEL == pcr.load_panel(spark, str(tmp_path / "none.json"))
+    (tmp_path / "m.json").write_text('{"genomes": [{"genome_id": "1.1", "domain": "Bacteria"}, {"genome_id": "2.1"}]}')
+    (tmp_path / "f.json").write_text('{"1.1": "Archaea"}')
+    read = lambda n: [tuple(r) for r in tables.domain_map(spark, str(tmp_path / n)).collect()]
+    assert (read("m.json"), read("f.json"), read("none.json")) == ([("1.1", "Bacteria")], [("1.1", "Archaea")], [])
+
+
+def test_amplicon_keys(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">1.1__V4 x\nAC\n")
+    manifest = spark.createDataFrame([("1.1",), ("2.1",)], "genome_id string")
+    keys = lambda p: sorted(r["key"] for r in tables.amplicon_keys(spark, str(tmp_path / p), manifest, ["V3", "V4"]).collect())
+    assert keys("a.fa") == ["1.1__V4"] and keys("none.fa") == ["1.1__V3", "1.1__V4", "2.1__V3", "2.1__V4"]
+
+
+def test_outputs_are_set_aside_and_inexact_input_refused(spark, tmp_path):
+    import pytest
+
+    from strandwork.plans import cli, stages
+
+    path = f"{tmp_path}/out"
+    assert stages.set_aside(spark, path, "old") is None
+    for want in (f"{path}.old", f"{path}.old.1"):
+        spark.range(2).write.parquet(path)
+        assert stages.set_aside(spark, path, "old") == want and spark.read.parquet(want).count() == 2
+    stages.refuse_inexact("exact"), stages.refuse_inexact("estimated", allow=True), stages.refuse_inexact(None)
+    with pytest.raises(ValueError, match="estimated"):
+        stages.refuse_inexact("estimated")
+    assert cli.knobs("exact_tie", '{"window": 0.01, "cap": 2}').cap == 2
+    for bad in ('{"windo": 1}', '{"cap": "2"}', '{"species_dedup": 1}'):
+        with pytest.raises(ValueError, match="knob"):
+            cli.knobs("exact_tie", bad)
+    (tmp_path / "b.log").write_text("\n".join(f"[build] {k}\nnoise" for k in range(50)))
+    assert stages.log_excerpt(spark, f"{tmp_path}/b.log", ["[build]"], 3) == ["[build] 47", "[build] 48", "[build] 49"]
+    assert stages.code_state(str(tmp_path)) == {} or stages.code_state(str(tmp_path))["commit"]
