@@ -116,7 +116,9 @@ def select_exclusions(spark, sf):
     return _union(spark, sf).groupBy("stage", "tier").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(UNION_SQL + """SELECT query_id, rank, genome_id, stage, CASE WHEN stage = 'tier_floor' THEN printf('best identity %.4f is below the family threshold', best_identity) WHEN stage = 'reliability_gate' AND round(least(aligned_len / query_len, 1.0), 4) < 0.9 THEN printf('covers only %.3f of the query', round(least(aligned_len / query_len, 1.0), 4))
+  WHEN stage = 'reliability_gate' THEN printf('identities of the two methods differ by %.3f', round(abs(identity - edit_identity), 4)) WHEN stage = 'identity_floor' THEN printf('identity %.4f is below the family floor', identity) WHEN stage = 'identity_band' THEN 'too far below the best identity'
+  WHEN stage = 'genome_dedup' THEN 'another copy of the same genome is kept' WHEN stage = 'species_dedup' THEN 'species is represented by ' || representative WHEN role = 'anchor' THEN 'best representative' ELSE stage END AS reason FROM u""")
 def select_audit(spark, sf):
     return select.reasons(_union(spark, sf)).select("query_id", "rank", "genome_id", "stage", "reason")
 
@@ -174,13 +176,13 @@ def failure_attribution(spark, sf):
 
 # Gene sets: the parts a supplier delivers
 
-_GENES = "WITH genes AS (SELECT DISTINCT l_suppkey AS genome_id, l_partkey AS gene FROM lineitem), chosen AS (SELECT DISTINCT o_custkey % 50 AS query_id, l_suppkey AS genome_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_discount >= 0.09 AND l_quantity > 45)\n"
+_GENES = "WITH genes AS (SELECT DISTINCT l_suppkey AS genome_id, l_partkey AS gene FROM lineitem), chosen AS (SELECT DISTINCT o_custkey % 50 AS query_id, l_suppkey AS genome_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)\n"
 
 
 def _gene_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     li = t(spark, sf, "lineitem")
     g = li.select(F.col("l_suppkey").alias("genome_id"), F.col("l_partkey").alias("gene")).distinct()
-    c = t(spark, sf, "orders").join(li.where("l_discount >= 0.09 and l_quantity > 45"), F.col("o_orderkey") == F.col("l_orderkey"))
+    c = t(spark, sf, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
     return g, c.select((F.col("o_custkey") % 50).alias("query_id"), F.col("l_suppkey").alias("genome_id")).distinct()
 
 
@@ -452,12 +454,11 @@ def leakage_gap(spark, sf):
     return a.join(b, "query_id").withColumn("gap", F.col("include_best") - F.col("exclude_best"))
 
 
-@query("""SELECT DISTINCT k AS genome_id FROM (SELECT l_orderkey || '.' || l_partkey AS k FROM lineitem WHERE l_quantity > 49)""")
+@query("""SELECT DISTINCT k AS genome_id FROM (SELECT l_orderkey || '.' || l_partkey AS k FROM lineitem)""")
 def id_harvest(spark, sf):
     from .sources.tables import genome_ids
 
-    li = t(spark, sf, "lineitem").where("l_quantity > 49")
-    return genome_ids(li.select(F.to_json(F.struct(F.concat_ws(".", "l_orderkey", "l_partkey").alias("genome_id"), F.lit("x").alias("y"))).alias("j")), "j")
+    return genome_ids(t(spark, sf, "lineitem").select(F.to_json(F.struct(F.concat_ws(".", "l_orderkey", "l_partkey").alias("genome_id"), F.lit("x").alias("y"))).alias("j")), "j")
 
 
 @query("""SELECT key, v FROM (SELECT key, v, row_number() OVER (PARTITION BY key ORDER BY p DESC, v) AS r FROM (SELECT s_suppkey % 30 AS key, s_name AS v, 0 AS p FROM supplier UNION ALL SELECT c_custkey % 20, c_name, 1 FROM customer)) WHERE r = 1""")
@@ -522,7 +523,14 @@ def mapping_summary(spark, sf):
     return reports.mapping(select.summary(u), u, t(spark, sf, "orders").select(F.col("o_orderkey").alias("query_id")))
 
 
-@query()
+_PICKED = "SELECT query_id, list(DISTINCT genome_id) FILTER (disposition = 'selected') AS s, max(CASE WHEN role = 'anchor' THEN genome_id END) AS anchor FROM {0} GROUP BY 1"
+
+
+@query(f"""WITH a AS ({UNION_SQL} SELECT query_id, genome_id, rank, disposition, role FROM u), b AS ({UNION_SQL.replace("bk - identity > 0.0 ", "bk - identity > 0.01 ")} SELECT query_id, genome_id, rank, disposition, role FROM u),
+pa AS ({_PICKED.format("a")}), pb AS ({_PICKED.format("b")}), r AS (SELECT query_id, genome_id, min(rank)::BIGINT AS rank FROM b GROUP BY 1, 2),
+j AS (SELECT pa.query_id, coalesce(pa.s, []) AS x, coalesce(pb.s, []) AS y, pa.anchor AS anchor_a, pb.anchor AS anchor_b FROM pa JOIN pb USING (query_id))
+SELECT j.query_id, len(list_intersect(x, y))::DOUBLE / nullif(len(list_distinct(list_concat(x, y))), 0) AS jaccard, anchor_a IS NOT DISTINCT FROM anchor_b AS same_anchor, r.rank AS anchor_rank, len(x) = 0 AS abstains_a, len(y) = 0 AS abstains_b
+FROM j LEFT JOIN r ON r.query_id = j.query_id AND r.genome_id = anchor_a""")
 def audits_agree(spark, sf):
     from dataclasses import replace
 
@@ -545,7 +553,10 @@ def function_union_status(spark, sf):
     return status.select("query_id", "status", F.size("failed").cast("long").alias("n_failed"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+b AS (SELECT i, doc_id, n_chars, 0 AS batch, n_chars AS held, 1 AS n FROM o WHERE i = 1 UNION ALL
+  SELECT o.i, o.doc_id, o.n_chars, b.batch + (b.held + o.n_chars > 50000 OR b.n >= 40)::INTEGER, o.n_chars + CASE WHEN b.held + o.n_chars > 50000 OR b.n >= 40 THEN 0 ELSE b.held END, 1 + CASE WHEN b.held + o.n_chars > 50000 OR b.n >= 40 THEN 0 ELSE b.n END FROM b JOIN o ON o.i = b.i + 1)
+SELECT doc_id, n_chars, batch::INTEGER AS batch FROM b""")
 def upload_batches(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", "n_chars")
     return reports.upload_batches(d, "doc_id", "n_chars", 50_000, 40)
