@@ -62,6 +62,20 @@ def t_quantile(p: float, df: int) -> float:
     return (lo + hi) / 2
 
 
+def running_counts(df: DataFrame, value: str, buckets: int = 4096) -> DataFrame:
+    """(value, n, upto): rows with each different value, and rows with it or a lesser one; nulls are left out.
+
+    Values are counted first; their sums run within buckets of the range, and over the buckets' totals, so no task orders the table.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    share = (F.col(value) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
+    placed = counts.join(F.broadcast(ends)).withColumn("__b", F.floor(share * (buckets - 1)).cast("int")).drop("__lo", "__hi")  # ends is one row
+    totals = placed.groupBy("__b").agg(F.sum("n").alias("__m")).withColumn("__a", F.sum("__m").over(Window.partitionBy(F.lit(0)).orderBy("__b")) - F.col("__m"))  # at most `buckets` rows
+    within = F.sum("n").over(Window.partitionBy("__b").orderBy(value))
+    return placed.withColumn("__w", within).join(F.broadcast(totals), "__b").select(value, "n", (F.col("__a") + F.col("__w")).alias("upto"))
+
+
 def t_interval(df: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
     """Mean with its interval by Student's t; a single value is its own interval."""
 
