@@ -133,6 +133,8 @@ def features(part: tv.Slice, terms: Terms) -> np.ndarray:
     word_share = lambda f: np.bincount(raw.text, f, n) / words_n
     same = np.zeros(len(data), bool)
     same[2:] = (data[2:] == data[1:-1]) & (data[2:] == data[:-2]) & _LETTER[data[2:]]
+    for k in (0, 1):  # a run of letters lies within one text
+        same[np.minimum(part.offsets[:-1] + k, len(data) - 1)[np.diff(part.offsets) > k]] = False
     leet = np.zeros(n)
     odd = np.flatnonzero((let > 0) & (inside(_LEET_SIGN[data]) > 0))
     if len(odd):
