@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -88,6 +90,15 @@ def drop_stored(spark: SparkSession, since: int, keep: Sequence[str] = ()) -> No
         _made.remove(path)
 
 
+@atexit.register
+def _sweep() -> None:
+    """What this driver stored goes when it ends, if its session still runs."""
+    spark = SparkSession.getActiveSession()
+    if _made and spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the store may be gone already
+            drop_stored(spark, 0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)

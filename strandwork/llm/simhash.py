@@ -317,9 +317,10 @@ def links(fps: DataFrame, max_bits: int = 4, subtrie_rows: int = 8192, count: in
         depth += more
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, settle: bool = True) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
+    With settle=False it stops after max_rounds: equal roots still mean one class, but a class may have several.
     Alternates large-star and small-star steps; each is a minimum per node (pre-aggregated before its
     shuffle) and an equi-join, and each round is a stored table.
     """
@@ -333,12 +334,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lows")
         small_star = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e = stored(small_star, "links")
+        if not settle:
+            continue
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
     else:
-        raise RuntimeError("components did not settle")
+        if settle:
+            raise RuntimeError("components did not settle")
+        e = e.groupBy("u").agg(F.min("v").alias("v"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
