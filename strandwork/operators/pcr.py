@@ -69,6 +69,17 @@ def exact_inserts(df: DataFrame, seq: str, forward: str, reverse: str, low: int,
     return both.withColumn("insert", F.col("__r")[0]).where(F.length("insert").between(low, high)).drop("__f", "__r")
 
 
+def region_statistics(seqs: DataFrame, extracted: DataFrame, seq: str, insert: str, low: int = 1400, high: int = 1600) -> DataFrame:
+    """One row: sequences, those of full length, those extracted, shares, and lengths of the inserts; extracted: rows of seqs with an insert."""
+    full = lambda c: F.length(c).between(low, high)
+    a = seqs.agg(F.count("*").alias("n_input"), F.count_if(full(F.col(seq))).alias("n_full_length"))
+    x = F.length(insert).cast("double")
+    whole = lambda q: F.percentile(x, F.lit(q)).cast("long")
+    b = extracted.agg(F.count("*").alias("n_extracted"), F.count_if(full(F.col(seq))).alias("n_full_extracted"), whole(0.5).alias("median"), F.round(F.avg(x), 1).alias("mean"), whole(0.05).alias("p5"), whole(0.95).alias("p95"), F.min(x).cast("long").alias("low"), F.max(x).cast("long").alias("high"))
+    share = lambda k, n: F.round(F.col(k) / F.greatest(F.col(n), F.lit(1)), 4)
+    return a.join(F.broadcast(b)).withColumns({"extract_rate": share("n_extracted", "n_input"), "full_extract_rate": share("n_full_extracted", "n_full_length")})  # one row each
+
+
 def amplicons(seqs: DataFrame, key: str, seq: str, panel: tuple[Region, ...] = PANEL, edits: int = 3, include_primers: bool = True) -> DataFrame:
     """(key, region, amplicon, fwd_edits, rev_edits, strand); the reverse strand is tried where the forward one gives nothing, region by region."""
     plan = [(r.name, r.forward, text.reversed_primer(r.reverse), r.low, r.high) for r in panel]

@@ -210,3 +210,11 @@ def allocate_tree(leaves: DataFrame, levels: list[str], available: str, budget:
         nodes = nodes.withColumn("budget", F.lit(budget).cast("long")) if out is None else nodes.join(out.select(*parents, F.col("allocated").alias("budget")), parents)
         out = _largest_remainder(nodes, parents, child, alpha, cap_share)
     return out
+
+
+def cell_rate(queries: DataFrame, refs: DataFrame, query: str, ref: str, seconds: float) -> DataFrame:
+    """One row: cells of an exhaustive alignment of all queries with all references, and billions of them a second."""
+    q = queries.agg(F.coalesce(F.sum(F.length(query)), F.lit(0)).alias("query_letters"), F.count("*").alias("n_queries"))
+    r = refs.agg(F.coalesce(F.sum(F.length(ref)), F.lit(0)).alias("ref_letters"), F.count("*").alias("n_refs"))
+    cells = F.col("query_letters") * F.col("ref_letters")
+    return q.join(F.broadcast(r)).select("n_queries", "n_refs", cells.alias("cells"), (cells / F.lit(seconds) / 1e9).alias("billions_a_second"))  # one row each

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import dedup, hits, scoring
-from .queries import _COS, _KEYED, query, t
+from .functions import text
+from .functions import vector as V
+from .operators import dedup, hits, pcr, scoring
+from .queries import _CLEAN, _COS, _KEYED, query, t
 from .queries_hits import HITS_SQL, _CAPTURE, _captured, hit_table
 
 # Neighbours
@@ -179,8 +181,6 @@ def length_order(spark, sf):
 SELECT c_custkey, CASE WHEN coalesce(lower(genus), 'nan') NOT IN ('nan', '') THEN lower(genus) ELSE coalesce(lower(list_filter(string_split_regex(line, '\s+'), lambda x: x <> '')[-1]), '') END AS genus,
   CASE WHEN coalesce(lower(genus), 'nan') NOT IN ('nan', '') THEN lower(genus) ELSE '' END AS rank_name, coalesce(lower(list_filter(string_split_regex(line, '\s+'), lambda x: x <> '')[-2]), '') AS before_last FROM s""")
 def study_names(spark, sf):
-    from .functions import text
-
     k = F.col("c_custkey")
     s = t(spark, sf, "customer").select("c_custkey", F.when(k % 4 == 1, "NaN").when(k % 4 == 2, "").when(k % 4 == 3, F.col("c_mktsegment")).alias("genus"), F.when(k % 3 == 0, "").otherwise(F.concat_ws(" ", F.lit("Bacteria"), "c_name", "c_mktsegment")).alias("line"))
     return s.select("c_custkey", text.study_genus(F.col("genus"), F.col("line")).alias("genus"), text.study_rank(F.col("genus")).alias("rank_name"), text.study_token(F.col("line"), -2).alias("before_last"))
@@ -192,3 +192,28 @@ def tree_allocation(spark, sf):
     c = t(spark, sf, "customer").join(t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     leaves = c.groupBy("n_regionkey", "n_nationkey", "c_mktsegment").agg(F.count("*").alias("available"))
     return scoring.allocate_tree(leaves, ["n_regionkey", "n_nationkey", "c_mktsegment"], "available", 60)
+
+
+@query(f"""WITH c AS (SELECT doc_id, {_CLEAN} AS s FROM documents), g AS (SELECT s, substr(s, instr(s, regexp_extract(s, 'TH[AE]')) + 3) AS rest FROM c WHERE regexp_extract(s, 'TH[AE]') <> ''),
+e AS (SELECT s, (instr(rest, 'AND') - 1)::DOUBLE AS x FROM g WHERE instr(rest, 'AND') > 0 AND instr(rest, 'AND') - 1 BETWEEN 5 AND 400),
+a AS (SELECT count(*) AS n_input, count(*) FILTER (length(s) BETWEEN 1400 AND 1600) AS n_full_length FROM c),
+b AS (SELECT count(*) AS n_extracted, count(*) FILTER (length(s) BETWEEN 1400 AND 1600) AS n_full_extracted, trunc(quantile_cont(x, 0.5))::BIGINT AS median, round(avg(x), 1) AS mean, trunc(quantile_cont(x, 0.05))::BIGINT AS p5, trunc(quantile_cont(x, 0.95))::BIGINT AS p95, min(x)::BIGINT AS low, max(x)::BIGINT AS high FROM e)
+SELECT *, round(n_extracted::DOUBLE / greatest(n_input, 1), 4) AS extract_rate, round(n_full_extracted::DOUBLE / greatest(n_full_length, 1), 4) AS full_extract_rate FROM a, b""")
+def region_statistics(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", dedup.cleaned("text").alias("s"))
+    return pcr.region_statistics(d, pcr.exact_inserts(d, "s", "TH[AE]", "AND", 5, 400), "s", "insert")
+
+
+@query("""SELECT q.n AS n_queries, r.n AS n_refs, (q.x * r.x)::BIGINT AS cells, (q.x * r.x)::DOUBLE / 2.0 / 1e9 AS billions_a_second FROM (SELECT count(*) AS n, sum(length(text))::BIGINT AS x FROM benchmark) q, (SELECT count(*) AS n, sum(length(text))::BIGINT AS x FROM documents) r""")
+def cell_rate(spark, sf):
+    return scoring.cell_rate(t(spark, sf, "benchmark"), t(spark, sf, "documents"), "text", "text", 2.0)
+
+
+@query("""WITH g AS (SELECT vec_id // 16 AS text_id, list(embedding::DOUBLE[] ORDER BY vec_id) AS v, list((vec_id % 3 <> 0)::INTEGER ORDER BY vec_id) AS m FROM embeddings GROUP BY 1),
+s AS (SELECT text_id, [list_sum([v[k][i] FOR k IN range(1, len(v) + 1) IF m[k] <> 0]) FOR i IN range(1, 65)] AS t FROM g)
+SELECT text_id, round(t[1] / sqrt(list_dot_product(t, t)), 9) AS "first", round(t[64] / sqrt(list_dot_product(t, t)), 9) AS "last" FROM s""")
+def masked_means(spark, sf):
+    """The pooled vector of each text's masked tokens: sixteen rows stand for the tokens of a text."""
+    e = t(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 16).alias("text_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("rows"))
+    pooled = V.masked_mean(F.col("rows")["embedding"], F.transform("rows", lambda r: (r["vec_id"] % 3 != 0).cast("int")), 64)
+    return e.select("text_id", pooled.alias("p")).select("text_id", F.round(F.col("p")[0], 9).alias("first"), F.round(F.col("p")[63], 9).alias("last"))

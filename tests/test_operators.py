@@ -241,3 +241,24 @@ def test_bootstrap_of_spearman(spark):
     draws = [rho(rng.integers(0, 60, 60)) for _ in range(2000)]
     assert abs(got["rho"] - rho(np.arange(60))) < 1e-8 and got["replicates"] == 400
     assert abs(got["low"] - np.quantile(draws, 0.025)) < 0.05 and abs(got["high"] - np.quantile(draws, 0.975)) < 0.05
+
+
+def test_backend_choice(spark):
+    from strandwork.plans.backend import Machine, choose, probe
+
+    for cuda in (False, True):
+        for metal in (False, True):
+            for cores in (1, 31, 256):
+                m = Machine(cuda, metal, cores, 100.0)
+                assert choose(m) == ("cuda" if cuda else "metal" if metal else "cpu")
+                assert [choose(m, b) for b in ("cuda", "metal", "cpu")] == ["cuda", "metal", "cpu"]
+    assert choose(probe(spark)) == "cpu" and probe(spark).cores >= 1
+
+
+def test_masked_mean(spark):
+    from strandwork.functions import vector as V
+
+    rows = [(1, [[3.0, 0.0], [9.0, 9.0], [0.0, 4.0]], [1, 0, 1]), (2, [[1.0, 1.0]], [0]), (3, [], [])]
+    df = spark.createDataFrame(rows, "k int, v array<array<double>>, m array<int>")
+    got = {r["k"]: r["p"] for r in df.select("k", V.masked_mean(F.col("v"), F.col("m"), 2).alias("p")).collect()}
+    assert got == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: [0.0, 0.0]}
