@@ -8,8 +8,8 @@ task; each task sweeps its range by falling length, a piece into its successor (
 least gap that holds it, updated at once), and of pieces of one length the one of lower rank
 first.  As every gap is in one range, no two tasks want the same.  Gaps that hold any
 piece of the class are dealt over all ranges.  What found no gap is sorted anew
-with the gaps that are left, over new ranges, until a sweep places nothing; then each task opens
-sequences for what is left.  Every round's gaps and placed pieces are stored tables.
+with the gaps that are left, over new ranges; in a class's last sweep, or if no gap can hold any piece, the tasks
+open sequences for what still finds none.  Every round's gaps and placed pieces are stored tables.
 
 Nulls: a null text is empty; a null id is packed like any other.  An empty text
 is one piece of its end token.  Repeated rows are separate documents.  Empty
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from math import ceil
@@ -34,8 +35,8 @@ from .common import small_batches, stored
 
 #: Pieces and gaps in one range, about.
 RANGE_ROWS = 20_000
-#: Sweeps of one class at most before its pieces open sequences.
-SWEEPS = 4
+#: Sweeps of one class; in the last one its pieces open sequences.
+SWEEPS = 2
 _SPACE, _LETTER, _DIGIT, _OTHER, _COMPLEX = range(5)
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
@@ -281,7 +282,7 @@ _STATE = "kind int, doc_id long, piece int, start long, length long, ids_crc32 l
 _PLACED, _GAP, _LEFT = range(3)
 
 
-def _swept(rows: DataFrame, number: int, size: int, least: int, most: int, opens: bool, range_rows: int) -> DataFrame:
+def _swept(rows: DataFrame, number: int, size: int, least: int, most: int, opens: bool, ranges: int) -> DataFrame:
     """One round over pieces (kind _LEFT) and gaps (kind _GAP: length is free, offset is used) of a class of lengths, by ranges of size."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +309,6 @@ def _swept(rows: DataFrame, number: int, size: int, least: int, most: int, opens
     anywhere = least + F.pmod(tie, F.lit(most - least + 1))
     place = F.when((F.col("kind") == _GAP) & (F.col("length") >= most), anywhere).otherwise(F.col("length"))
     dealt = rows.withColumn("place", place).withColumn("tie", tie)
-    ranges = max(1, ceil(rows.count() / range_rows))
     return dealt.repartitionByRange(ranges, "place", "tie").sortWithinPartitions("kind", "doc_id", "piece", "ids_crc32").drop("place", "tie").mapInArrow(sweep, _STATE)
 
 
@@ -316,23 +316,34 @@ def pack(cut: DataFrame, length: int = 2048, range_rows: int = RANGE_ROWS) -> Da
     """Adds sequence_id and offset to pieces; cut is a stored table of pieces()."""
     nothing = F.lit(0).cast("long")
     todo = cut.select(F.lit(_LEFT).alias("kind"), "doc_id", "piece", "start", "length", "ids_crc32", nothing.alias("sequence_id"), nothing.alias("offset"))
+    left = Counter({r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()})  # at most `length` rows, as for each count below
+    free: Counter[int] = Counter()
     placed, gaps, number, most = [], None, 0, length
     while most:
         least = most // 2 + 1 if most > length // 16 else 1
         pieces, sweeps = todo.where(F.col("length").between(least, most)), 0
-        opens = gaps is None
-        while pieces is not None:
-            fits = pieces if gaps is None else pieces.unionByName(gaps.where(F.col("length") >= least))
-            out = stored(_swept(fits, number, length, least, most, opens, range_rows), "packing")
-            number, sweeps = number + 1, sweeps + 1
-            n = {r["kind"]: r["n"] for r in out.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        while wanted := {k: left[k] for k in range(least, most + 1) if left[k]}:
+            fitting = {k: n for k, n in free.items() if k >= least and n}
+            sweeps += 1
+            opens = sweeps == SWEEPS or max(fitting, default=0) < min(wanted)
+            rows = pieces.unionByName(gaps.where(F.col("length") >= least)) if fitting else pieces
+            ranges = max(1, ceil((sum(wanted.values()) + sum(fitting.values())) / range_rows))
+            out = stored(_swept(rows, number, length, least, most, opens, ranges), "packing")
+            number += 1
+            counts = {(r["kind"], r["length"]): r["n"] for r in out.where(F.col("kind") != _PLACED).groupBy("kind", "length").agg(F.count("*").alias("n")).collect()}
+            for k in range(least, length + 1):
+                free[k] = 0
+            for (kind, k), n in counts.items():
+                free[k] += n * (kind == _GAP)
+            left.update({k: counts.get((_LEFT, k), 0) - left[k] for k in wanted})
             placed.append(out.where(F.col("kind") == _PLACED).select(*_PIECE))
-            narrow = [] if gaps is None else [gaps.where(F.col("length") < least)]
-            gaps = reduce(DataFrame.unionByName, [out.where((F.col("kind") == _GAP) & (F.col("length") > 0)), *narrow])
-            pieces = out.where(F.col("kind") == _LEFT) if n.get(_LEFT) else None
-            opens = not n.get(_PLACED) or sweeps == SWEEPS
+            kept = out.where((F.col("kind") == _GAP) & (F.col("length") > 0))
+            if gaps is not None:  # those that no piece of the class fits, or that were not asked
+                kept = kept.unionByName(gaps.where(F.col("length") < least) if fitting else gaps)
+            gaps = kept
+            pieces = out.where(F.col("kind") == _LEFT)
         most = least - 1
-    return reduce(DataFrame.unionByName, placed)
+    return reduce(DataFrame.unionByName, placed) if placed else todo.select(*_PIECE)
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", length: int = 2048) -> DataFrame:
