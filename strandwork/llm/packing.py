@@ -328,7 +328,7 @@ def pack(cut: DataFrame, length: int = 2048, range_rows: int = RANGE_ROWS) -> Da
             opens = sweeps == SWEEPS or max(fitting, default=0) < min(wanted)
             rows = pieces.unionByName(gaps.where(F.col("length") >= least)) if fitting else pieces
             ranges = max(1, ceil((sum(wanted.values()) + sum(fitting.values())) / range_rows))
-            out = stored(_swept(rows, number, length, least, most, opens, ranges), "packing")
+            out = stored(_swept(rows, number, length, least, most, opens, ranges), "packing", "none")  # small numbers; compressors hold memory outside the heap for each file
             number += 1
             counts = {(r["kind"], r["length"]): r["n"] for r in out.where(F.col("kind") != _PLACED).groupBy("kind", "length").agg(F.count("*").alias("n")).collect()}
             for k in range(least, length + 1):
