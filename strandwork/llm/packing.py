@@ -288,6 +288,7 @@ def _swept(rows: DataFrame, number: int, size: int, least: int, most: int, opens
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        _encoders.clear()  # workers are used again, and rounds need no tokenizer
         got = list(batches)
         if not got:
             return
