@@ -86,10 +86,13 @@ def pool(parts: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
-def missed(candidates: DataFrame, others: DataFrame, query: str, ref: str, value: str) -> DataFrame:
-    """n queries; those for which a row of others beats every candidate, and those whose best of both is the best candidate."""
+def missed(candidates: DataFrame, others: DataFrame, query: str, ref: str, value: str, best: Column | None = None) -> DataFrame:
+    """n queries; those for which a row of others beats every candidate, and those whose best of both is the best candidate.
+
+    best: what the best has most of (by default the value, then the smaller ref).
+    """
     both = candidates.select(query, ref, value, F.lit(True).alias("mine")).union(others.select(query, ref, value, F.lit(False)))
-    best = F.struct(value, -F.col(ref))
+    best = F.struct(value, -F.col(ref)) if best is None else best
     q = both.groupBy(query).agg(F.max(F.when(F.col("mine"), F.col(value))).alias("c"), F.max(F.when(~F.col("mine"), F.col(value))).alias("r"), F.max_by(ref, best).alias("top"), F.max_by(ref, F.when(F.col("mine"), best)).alias("own"))
     return q.agg(F.count("*").alias("n"), F.count_if(F.col("r") > F.col("c")).alias("n_missed"), F.count_if(F.col("top") == F.col("own")).alias("n_same_first"))
 
