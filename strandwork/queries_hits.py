@@ -195,7 +195,7 @@ def gene_union(spark, sf):
 @query(_GENES + ", p AS (SELECT query_id, gene, count(DISTINCT genome_id) AS n FROM chosen JOIN genes USING (genome_id) GROUP BY query_id, gene), k AS (SELECT query_id, count(*) AS total FROM chosen GROUP BY query_id) SELECT query_id, count(*) AS union_genes, count(*) FILTER (n = total) AS core, count(*) FILTER (2 * n >= total) AS half_core, count(*) FILTER (n = 1 AND total > 1) AS \"unique\", count(*) FILTER (n > 1 AND n < total) AS shared FROM p JOIN k USING (query_id) GROUP BY query_id")
 def pangenome(spark, sf):
     g, c = _gene_tables(spark, sf)
-    return genes.pangenome(genes.union(c, g), c.groupBy("query_id").agg(F.count("*").alias("total")))
+    return genes.pangenome(genes.union(c, g), genes.sizes(c))
 
 
 @query(_GENES + "SELECT genome_id, gene FROM genes WHERE gene NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 20 = 0)")
