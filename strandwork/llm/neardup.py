@@ -10,8 +10,13 @@ The order is by a sketch of all shingle counts (2^20 buckets, levels of an
 eighth of a power of two), rarest first, so common lines are hardly ever in a
 prefix; ties go by hash.  Equal sets are one node, named by a 64-bit hash.
 
+The first candidates are the links of SimHash fingerprints of the same shingles, found by the binary trie
+self-join of simhash.py: a spanning forest of the fingerprints at SIMHASH_BITS or fewer differing bits, nodes of one
+fingerprint in a star.  They are compared set by set like all others.  Fingerprints alone can't tell the similarity, so the prefixes
+find what they miss.
+
 Every prefix shingle that two nodes share is a run; the smaller set of a pair needs an
-even shorter prefix.  First, in two rounds, each row of a run meets only the nearest row before it that is in
+even shorter prefix.  After the fingerprints, in two rounds, each row of a run meets only the nearest row before it that is in
 another class, in an order that differs from run to run but for sizes, and each node is compared with the likeliest few
 it met: that joins most of a large class at a cost linear in its rows.  Then all
 pairs of a run whose nodes are still in different classes meet.  Sizes, places within the
@@ -38,13 +43,16 @@ from pyspark.sql.window import Window
 
 from . import textvec as tv
 from .common import small, small_batches, stored
-from .simhash import components
+from .simhash import components, fingerprints_of
+from .simhash import links as trie_links
 
 _U = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _BUCKETS, _CHUNKS = 1 << 20, 16
 #: 64-bit words of a parity map.
 _WORDS = 8
+#: Bits in which fingerprints that link differ at most.
+SIMHASH_BITS = 4
 #: Nodes that a node is compared with before all pairs of mixed runs are.
 TRIED = 3
 #: Rounds of that.
@@ -105,28 +113,29 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _nodes(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, h, node, n, bits) for each row, and (chunk, counts) of each task's sketch."""
+    """(id, h, node, n, bits, fp) for each row, and (chunk, counts) of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(_BUCKETS, np.int32)
         for b in batches:
-            names, sizes, maps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 8 * _WORDS), np.uint8)]
+            names, sizes, maps, fps = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 8 * _WORDS), np.uint8)], [np.zeros(0, np.uint64)]
             for s in tv.slices(b.column(2)):
                 sets, n = shingle_sets(s, shingle)
                 np.add.at(sketch, (sets >> _U(44)).astype(np.int64), 1)
                 names.append(set_names(sets, n))
                 sizes.append(n)
                 maps.append(parity_maps(sets, n))
+                fps.append(fingerprints_of(s, shingle))
             k = b.num_rows
             bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * _WORDS), k, [None, pa.py_buffer(np.concatenate(maps).tobytes())]).cast(pa.binary())
-            cols = [b.column(0), b.column(1), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(sizes)), bits]
+            cols = [b.column(0), b.column(1), pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(sizes)), bits, pa.array(np.concatenate(fps).view(np.int64))]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=out)
         if sketch.any():
-            blank = [*[pa.nulls(_CHUNKS, pa.int64())] * 4, pa.nulls(_CHUNKS, pa.binary())]
+            blank = [*[pa.nulls(_CHUNKS, pa.int64())] * 4, pa.nulls(_CHUNKS, pa.binary()), pa.nulls(_CHUNKS, pa.int64())]
             yield pa.RecordBatch.from_arrays([*blank, pa.array(range(_CHUNKS), pa.int32()), pa.array([c.tobytes() for c in np.split(sketch, _CHUNKS)], pa.binary())], names=out)
 
-    out = ["id", "h", "node", "n", "bits", "chunk", "counts"]
-    return rows.mapInArrow(run, "id long, h long, node long, n long, bits binary, chunk int, counts binary")
+    out = ["id", "h", "node", "n", "bits", "fp", "chunk", "counts"]
+    return rows.mapInArrow(run, "id long, h long, node long, n long, bits binary, fp long, chunk int, counts binary")
 
 
 def _levels(sketches: DataFrame) -> np.ndarray:
@@ -257,6 +266,17 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return _in_runs(prefixes.select("s", "n", "node", "at"), step, _SHARED)
 
 
+def _by_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node with the least of its fingerprint, and the least of fingerprints that the trie join links."""
+    firsts = stored(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("first").alias("x"), F.col("node").alias("y"))
+    near = trie_links(firsts, SIMHASH_BITS)
+    for c in "ab":
+        near = near.join(firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")), c)
+    both = same.unionByName(near.select(F.col("first_a").alias("x"), F.col("first_b").alias("y")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _neighbours(rooted: DataFrame, tenths: int, turn: int) -> DataFrame:
     """(a, b): each row of a run with the nearest row before it in another class, by levels of size and within one by a hash of node, run and turn."""
 
@@ -312,8 +332,8 @@ def _across(rooted: DataFrame, nodes: DataFrame, tenths: int) -> DataFrame:
     return _in_runs(mixed.join(bits, "node").select(*mixed.columns, "bits"), step, "a long, b long").distinct()
 
 
-def _by_maps(pairs: DataFrame, nodes: DataFrame, tenths: int, tried: int = TRIED) -> DataFrame:
-    """Of the pairs that their sizes and parity maps leave possible, for each b the `tried` likeliest."""
+def _by_maps(pairs: DataFrame, nodes: DataFrame, tenths: int, tried: int | None = TRIED) -> DataFrame:
+    """Of the pairs that their sizes and parity maps leave possible, for each b the `tried` likeliest (None: all)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -323,7 +343,10 @@ def _by_maps(pairs: DataFrame, nodes: DataFrame, tenths: int, tried: int = TRIED
             yield pa.RecordBatch.from_arrays([*(b.column(c).filter(ok) for c in (0, 1)), pa.array(apart / np.maximum(n + m, 1)).filter(ok)], names=["a", "b", "apart"])
 
     sides = [nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long, apart double").withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))).where(F.col("r") <= tried).select("a", "b")
+    likely = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long, apart double")
+    if tried is None:
+        return likely.select("a", "b")
+    return likely.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))).where(F.col("r") <= tried).select("a", "b")
 
 
 def _bitmap(keys: DataFrame, bits: int) -> bytes:
@@ -392,12 +415,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     both = stored(_nodes(rows, shingle), "sets")
     named = both.where("chunk IS NULL").select("id", "h", "node", "n")
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least")
-    nodes = stored(both.where("chunk IS NULL").groupBy("node").agg(least, F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")  # rows of a node have one size and map
+    nodes = stored(both.where("chunk IS NULL").groupBy("node").agg(least, F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("fp").alias("fp")), "nodes")  # rows of a node have one size and map; of fingerprints (repeats count there) the least
     levels = _levels(both.where("chunk IS NOT NULL").select("chunk", "counts"))
     shared = stored(_shared(_prefixes(rows, levels, shingle, tenths)), "shared")
     rooted, links = shared.withColumn("root", F.col("node")), None
-    for turn in range(TURNS + 1):
-        pairs = _by_maps(_neighbours(rooted, tenths, turn), nodes, tenths) if turn < TURNS else _across(rooted, nodes, tenths)
+    for turn in range(-1, TURNS + 1):
+        if turn < 0:
+            pairs = _by_maps(_by_fingerprints(nodes), nodes, tenths, None)
+        else:
+            pairs = _by_maps(_neighbours(rooted, tenths, turn), nodes, tenths) if turn < TURNS else _across(rooted, nodes, tenths)
         found = stored(_links(stored(pairs, "pairs"), nodes, rows, shingle, tenths), "links")
         links = found if links is None else links.union(found)
         roots = components(links).withColumnRenamed("node", "__node")
