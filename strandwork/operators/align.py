@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import kernels
-from .kmer import tfidf_scores
+from .kmer_top import tfidf_top
 
 
 def shared_kmers(queries: DataFrame, refs: DataFrame, query_key: str, ref_key: str, text: str, k: int = 8, n: int = 500) -> DataFrame:
     """(query_id, ref_id): each query's n best references by k-mer cosine; the optional prefilter."""
-    s = tfidf_scores(queries, refs, query_key, ref_key, text, k)
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "ref_id")
-    return s.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).select("query_id", "ref_id")
+    return tfidf_top(queries, refs, query_key, ref_key, text, k, n).select("query_id", "ref_id")
 
 
 def with_sequences(pairs: DataFrame, queries: DataFrame, refs: DataFrame, query_key: str, ref_key: str, text: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import stats, text
-from .operators import align, dedup, genes, hits, kmer, knn, lineage, pcr, scoring, select
+from .operators import align, dedup, genes, hits, kmer, kmer_top, knn, lineage, pcr, scoring, select
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -363,13 +363,12 @@ k AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC,
 
 
 def _tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    s = kmer.tfidf_scores(t(spark, sf, "benchmark"), t(spark, sf, "documents"), "item_id", "doc_id", "text", 8)
-    return kmer.ranked(s.withColumn("cosine", F.round("cosine", 9)), "cosine")
+    return kmer_top.tfidf_top(t(spark, sf, "benchmark"), t(spark, sf, "documents"), "item_id", "doc_id", "text", 8, 10)
 
 
 @query(_TFIDF + "SELECT query_id, ref_id, rank, cosine FROM k WHERE rank <= 10")
 def kmer_tfidf_top10(spark, sf):
-    return _tfidf(spark, sf).where("rank <= 10").select("query_id", "ref_id", "rank", "cosine")
+    return _tfidf(spark, sf).select("query_id", "ref_id", "rank", "cosine")
 
 
 _TWO = """WITH a AS (SELECT l_orderkey AS query_id, l_partkey AS ref_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_extendedprice) DESC, l_partkey))::INTEGER AS rank FROM lineitem GROUP BY l_orderkey, l_partkey),
