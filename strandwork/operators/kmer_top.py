@@ -244,7 +244,7 @@ def _best(query: np.ndarray, ids: np.ndarray, cosine: np.ndarray, top: int) -> t
 _made: list[str] = []
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """df written to the folder that driver and executors share, and read again."""
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -325,7 +325,7 @@ def tfidf_top(queries: DataFrame, refs: DataFrame, query_key: str, ref_key: str,
         if ids:
             yield out()
 
-    d = _stored(_documents(refs, ref_key, text).mapInArrow(chunks, f"chunk long, ids array<{kinds[1].simpleString()}>, sizes array<array<int>>, texts binary"))
+    d = stored(_documents(refs, ref_key, text).mapInArrow(chunks, f"chunk long, ids array<{kinds[1].simpleString()}>, sizes array<array<int>>, texts binary"))
     wants = "bucket long, chunk long, grams binary, counts binary"
     fields = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
 
@@ -337,7 +337,7 @@ def tfidf_top(queries: DataFrame, refs: DataFrame, query_key: str, ref_key: str,
 
     own = spark.createDataFrame([tuple(r.values()) for r in _requests(-1, asked, k, buckets, False)], wants)
     found = d.select("chunk", "sizes", "texts").mapInArrow(requests, wants).unionByName(own)
-    found = _stored(found.groupBy("bucket").applyInArrow(lambda t: _answers(t, k, buckets), "chunk long, bucket long, found binary"))
+    found = stored(found.groupBy("bucket").applyInArrow(lambda t: _answers(t, k, buckets), "chunk long, bucket long, found binary"))
     v = _vocabulary(asked, k)
     model = _Asked(asked, k, n, v, _frequencies(v, k, buckets, {r["bucket"]: bytes(r["found"]) for r in found.where("chunk = -1").collect()}))
     del asked, v

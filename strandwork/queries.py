@@ -433,4 +433,4 @@ def sw_exhaustive(spark, sf):
 def align_pipeline(spark, sf):
     b, d = t(spark, sf, "benchmark"), t(spark, sf, "documents")
     p = align.shared_kmers(b, d, "item_id", "doc_id", "text")
-    return align.rescore(align.edit_candidates(align.with_sequences(p, b, d, "item_id", "doc_id", "text")))
+    return align.search(p, b, d, "item_id", "doc_id", "text")
